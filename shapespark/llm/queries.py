@@ -11,7 +11,8 @@ from .quality import op7_quality_rules
 from .secrets import op1_secret_scan
 from .simhash import op4_simhash
 from .tokenpack import op2_token_pack
+from .toxicity import op9_toxicity
 from .warc import op8_warc
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_token_pack, op3_decontaminate, op4_simhash, op5_sentencepiece, op6_chat_format, op7_quality_rules, op8_warc, op10_html_text)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_token_pack, op3_decontaminate, op4_simhash, op5_sentencepiece, op6_chat_format, op7_quality_rules, op8_warc, op9_toxicity, op10_html_text)}
 ORACLES = sql.ORACLES

@@ -48,7 +48,7 @@ MORE = (
     Rule("code_host", r"gh[pousr]_[A-Za-z0-9]{36,255}"),
     Rule("chat_bot", r"xox[abprs]-[A-Za-z0-9-]{10,200}"),
     Rule("cloud_key", r"AIza[A-Za-z0-9_-]{35}"),
-    Rule("web_token", r"eyJ[A-Za-z0-9_-]{10,2000}\.eyJ[A-Za-z0-9_-]{10,2000}\.[A-Za-z0-9_-]{10,2000}"),
+    Rule("web_token", r"eyJ[A-Za-z0-9_-]{10,900}\.eyJ[A-Za-z0-9_-]{10,900}\.[A-Za-z0-9_-]{10,900}"),
     Rule("payment", r"[sr]k_live_[A-Za-z0-9]{16,200}"),
 )
 RULES = BASE + MORE
