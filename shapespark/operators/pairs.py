@@ -60,9 +60,11 @@ def by_blocks(spaces: DataFrame, kernel: Callable[[pd.DataFrame, pd.DataFrame |
         b, m = blocked(targets, 1)
         both = a.withColumn("p", F.col("block")).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(m - 1)))).unionByName(b.withColumn("q", F.col("block")).withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))))
 
+    among_themselves = targets is None
+
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         left, right = rows[rows.side == 0], rows[rows.side == 1]
-        if targets is None and key[1] == key[2]:
+        if among_themselves and key[1] == key[2]:
             return kernel(left, None)
         return kernel(left, right)
 

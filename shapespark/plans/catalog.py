@@ -396,18 +396,18 @@ def all_bounds(spark, sf_dir) -> DataFrame:
 
 @query
 def laplacian_score(spark, sf_dir):
-    return rounded(statistics.laplacian_scores(one_hot(spark, sf_dir), all_bounds(spark, sf_dir), 0.05), "score")
+    return rounded(statistics.laplacian_scores(one_hot(spark, sf_dir), all_bounds(spark, sf_dir), 0.012), "score")
 
 
 @query
 def association(spark, sf_dir):
-    return rounded(statistics.association(one_hot(spark, sf_dir), all_bounds(spark, sf_dir), 0.05, 200), "score")
+    return rounded(statistics.association(one_hot(spark, sf_dir), all_bounds(spark, sf_dir), 0.012, 200), "score")
 
 
 @query
 def association_covariates(spark, sf_dir):
     first = views.vectors(spark, sf_dir).select(F.col("id").alias("obj"), F.lit("x").alias("name"), F.element_at("vector", 1).alias("value"))
-    return statistics.association(one_hot(spark, sf_dir), all_bounds(spark, sf_dir), 0.05, 200, first)
+    return statistics.association(one_hot(spark, sf_dir), all_bounds(spark, sf_dir), 0.012, 200, first)
 
 
 @query

@@ -127,7 +127,7 @@ ORACLES = {
     "embedding_distance": f"with {VEC} select a.id first, b.id as second, round(list_sum(list_transform(range(1, 65), lambda k: (a.vector[k] - b.vector[k])^2)), 6) dist from v a join v b on a.label = b.label and a.id < b.id",
     "orient_argmax": f"with {TURNED} select cell_id, round(sum(d * (i + 1) * (j + 2)), 6) total, count(*) n from ori group by 1",
     "avg_shape": f"with {TURNED}, u as (select id cell_id, min(d) unit from ent where d > 0 group by 1) select i::int i, j::int j, round(avg(least(d / unit, 2.0)), 6) capped, round(avg(d / unit), 6) plain from ori join u using (cell_id) group by 1, 2",
-    "laplacian_score": f"""with {ENTRIES}, {bounds("")}, {BOTH}, g as (select first, second from both_ where dist < 0.05), n as (select count(*) n from g), deg as (select first obj, count(*) / any_value(n) g from g, n group by 1),
+    "laplacian_score": f"""with {ENTRIES}, {bounds("")}, {BOTH}, g as (select first, second from both_ where dist < 0.012), n as (select count(*) n from g), deg as (select first obj, count(*) / any_value(n) g from g, n group by 1),
       fe as (select id obj, c, case when label = c then 1.0 else 0.0 end f from v, (select unnest(range(10)) c)), m as (select c, sum(f * g) m from fe join deg using (obj) group by 1), ce as (select obj, c, f - m f from fe join m using (c))
       select 'label_' || a.c as name, round(1 - sum(a.f * b.f) / sum(a.f * a.f), 6) score from g join ce a on a.obj = first join ce b on b.obj = second and b.c = a.c group by 1""",
     "bh_qvalue": f"""with {TREES}, p as (select cell_id, (sum(case when structure_id = 5 then 1 else 0 end) + 1) / (count(*) + 1) p from tr group by 1)
