@@ -74,6 +74,8 @@ def emd(a: np.ndarray, b: np.ndarray, cost: np.ndarray) -> np.ndarray:
         return plan
     rows, cols = np.flatnonzero(a > 0), np.flatnonzero(b > 0)
     plan = np.zeros((n, m))
+    if not len(rows) or not len(cols):
+        return plan
     plan[np.ix_(rows, cols)] = _flow(a[rows] / a.sum(), b[cols] / b.sum(), cost[np.ix_(rows, cols)]) * a.sum()
     return plan
 
