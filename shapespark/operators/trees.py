@@ -198,18 +198,26 @@ def preorder(nodes: DataFrame) -> DataFrame:
 
 def contract_cell(cell: pd.DataFrame) -> pd.DataFrame:
     """Only roots, branchings and ends of an annotated cell, linked to the next such node above."""
-    cell = cell.sort_values("position").reset_index(drop=True)
-    index = {n: i for i, n in enumerate(cell.node_id)}
-    up = [index.get(p, -1) for p in cell.parent_id]
-    stays = ((cell.parent_id == -1) | (cell.n_children != 1)).to_numpy()
-    above, depth = [-1] * len(cell), [0] * len(cell)
-    for i, p in enumerate(up):  # parents come first
-        if p >= 0:
-            above[i] = p if stays[p] else above[p]
-            depth[i] = depth[above[i]] + 1
-    dist = cell.dist_root.to_numpy()
-    rows = [(cell.cell_id[i], cell.node_id[i], cell.node_id[above[i]] if above[i] >= 0 else -1, dist[i] - dist[above[i]] if above[i] >= 0 else 0.0, depth[i], cell.structure_id[i], dist[i]) for i in np.flatnonzero(stays)]
-    return pd.DataFrame(rows, columns=[c.split()[0] for c in WEIGHTED.split(", ")])
+    cell = cell.sort_values("position")
+    ids, parents, kinds, dist = (cell[c].to_numpy() for c in ("node_id", "parent_id", "structure_id", "dist_root"))
+    sort = np.argsort(ids)
+    up = np.where(parents == -1, -1, sort[np.minimum(np.searchsorted(ids[sort], parents), len(ids) - 1)])
+    stays = (parents == -1) | (cell.n_children.to_numpy() != 1)
+    # the nearest staying ancestor, by doubling steps over nodes that go
+    above = up.copy()
+    while True:
+        going = (above >= 0) & ~stays[above]
+        if not going.any():
+            break
+        above[going] = above[above[going]]
+    depth, at = np.zeros(len(ids), int), above.copy()
+    while (at >= 0).any():
+        depth[at >= 0] += 1
+        at = np.where(at >= 0, above[at], -1)
+    kept = np.flatnonzero(stays)
+    over = above[kept]
+    values = (cell.cell_id.iloc[0], ids[kept], np.where(over >= 0, ids[over], -1), np.where(over >= 0, dist[kept] - dist[over], 0.0), depth[kept], kinds[kept], dist[kept])
+    return pd.DataFrame(dict(zip([c.split()[0] for c in WEIGHTED.split(", ")], values, strict=True)))
 
 
 def contract(nodes: DataFrame) -> DataFrame:
