@@ -247,7 +247,7 @@ def half_known(spark, sf_dir) -> DataFrame:
     """Bounds with a stand-in for the costly distance (1.5 times the bound plus a little) of pairs whose first name ends in 0 to 4."""
     bounds = rounded(class_bounds(spark, sf_dir), "dist").withColumnRenamed("dist", "slb")
     binned = adaptive.binned(bounds, adaptive.bin_edges(bounds, 5))
-    return materialise(binned.withColumn("dist", F.when(F.col("first").substr(-1, 1) < "5", F.round(1.5 * F.col("slb") + F.col("second").substr(-2, 2).cast("double") / 1000, PLACES))), "half-known")
+    return materialise(binned.withColumn("dist", F.when(F.col("first").substr(-1, 1) < "5", F.round(1.5 * F.col("slb") + F.col("second").substr(-2, 2).cast("double") / 1000 + 1e-9, PLACES))), "half-known")
 
 
 @query

@@ -39,7 +39,7 @@ STEPS = f"""{ENTRIES}, q0 as (select id, k, d as value, 2 * (i + 1) * (j + 1) *
   union all select id, -1, 0.0, (select sum(((g + 1) * 2.0 / {N * (N + 1)})^2) from (select unnest(range({N})) g)) from v),
   st as (select id, value, hi - w lo, hi from (select *, sum(w) over (partition by id order by value, k rows unbounded preceding) hi from q0))"""
 EDGES = "edges as (select [quantile_cont(dist, 0.2), quantile_cont(dist, 0.4), quantile_cont(dist, 0.6), quantile_cont(dist, 0.8)] e from b0), bn as (select b0.*, len(list_filter(e, lambda t: t < dist))::int bin from b0, edges)"
-KNOWN = f"{CLASS}, {EDGES}, hk as (select first, second, bin, dist slb, case when first[-1:] < '5' then round(1.5 * dist + second[-2:]::double / 1000, 6) end d from bn)"
+KNOWN = f"{CLASS}, {EDGES}, hk as (select first, second, bin, dist slb, case when first[-1:] < '5' then round(1.5 * dist + second[-2:]::double / 1000 + 1e-9, 6) end d from bn)"
 DISCS = """px as (select (p_partkey // 10)::int::varchar image_id, r::int r, (t + 20 * (p_partkey % 10))::int c, case when 25 * ((r - 10)^2 + (t - 10)^2) <= p_size * p_size then p_partkey + 1 else 0 end::int as label,
   case when 25 * ((r - 10)^2 + (t - 10)^2) <= p_size * p_size then r + 0.5 * t else 0.0 end::double signal from part, (select unnest(range(20)) r), (select unnest(range(20)) t))"""
 TURNED = f"""{ENTRIES}, sq as (select id, i, j, d from ent union all select id, j, i, d from ent union all select id, g, g, 0.0 from v, (select unnest(range({N})) g)),
