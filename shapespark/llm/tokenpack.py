@@ -31,6 +31,7 @@ from .shared import bounded_batches, scratch_path, table
 MAGIC, HEAD = b"FWP1", struct.Struct("<4sIIQQQ")
 BLOCK_IDS, IMAGE_IDS = 4096, 1 << 16
 END_ID = 2
+ALIGNED = {8: ">u1", 16: ">u2", 32: ">u4"}
 #: Distinct pieces of text whose ids a worker remembers, at most; then it starts over.
 REMEMBERED = 500_000
 #: Unknown pieces that go to the library in one string.
@@ -43,11 +44,15 @@ def bits_for(vocabulary: int) -> int:
 
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
-    """Most significant bit first."""
+    """Most significant bit first. Widths of whole bytes are plain casts to the same layout."""
+    if bits in ALIGNED:
+        return ids.astype(ALIGNED[bits]).tobytes()
     return np.packbits(np.unpackbits(ids.astype(">u4").view(np.uint8).reshape(-1, 4), axis=1)[:, 32 - bits :]).tobytes()
 
 
 def unpack(data: bytes, n: int, bits: int) -> np.ndarray:
+    if bits in ALIGNED:
+        return np.frombuffer(data, ALIGNED[bits], n).astype("<u4")
     wide = np.zeros((n, 32), dtype=np.uint8)
     wide[:, 32 - bits :] = np.unpackbits(np.frombuffer(data, np.uint8), count=n * bits).reshape(n, bits)
     return np.packbits(wide, axis=1).view(">u4").ravel().astype("<u4")

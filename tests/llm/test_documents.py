@@ -168,8 +168,10 @@ def test_image_random_access():
     assert image.doc_ids == [3, None, -1, 7, 9] and image.ends.tolist() == np.cumsum([len(d) for d in documents]).tolist()
     for start, stop in ((0, len(ids)), (4000, 4200), (8191, 8193), (17, 17), (len(ids) - 1, len(ids))):
         assert image.ids(start, stop).tolist() == ids[start:stop].tolist()
-    for bits in (1, 7, 13, 17, 32):
+    for bits in (1, 7, 8, 13, 16, 17, 32):
         x = rng.integers(0, 1 << bits, 1000, dtype=np.uint64).astype("<u4")
+        plain = "".join(f"{v:0{bits}b}" for v in x.tolist())
+        assert tokenpack.pack(x, bits) == int(plain.ljust(-len(plain) % 8 + len(plain), "0"), 2).to_bytes(-(-len(plain) // 8), "big")
         assert tokenpack.unpack(tokenpack.pack(x, bits), 1000, bits).tolist() == x.tolist()
 
 
