@@ -29,16 +29,21 @@ def square(d: np.ndarray, n: int) -> np.ndarray:
     return out + out.T
 
 
+def pair_rows(rows: DataFrame, carried: list[str], key: str = "id", group: str | None = None) -> DataFrame:
+    """All pairs first < second (of one group) with the carried columns of both, a_... and b_.... Rows are dealt to blocks of about a thousand, and
+    pairs of blocks are an equi-join: a row is sent once for each block, not once for each pair, and a task meets two blocks at a time."""
+    g = F.col(group) if group else F.lit(0)
+    most = rows.groupBy(g.alias("g")).count().agg(F.max("count")).first()[0] or 0
+    blocks = max(1, math.ceil(most / (BLOCK * 16)))
+    dealt = rows.select(F.col(key).alias("id"), g.alias("g"), F.pmod(F.xxhash64(key), F.lit(blocks)).alias("block"), *[F.col(c) for c in carried if c != key]).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    left = dealt.select(F.col("id").alias("first"), "g", F.col("block").alias("p"), F.col("other").alias("q"), *[F.col(c).alias(f"a_{c}") for c in carried if c != key])
+    right = dealt.select(F.col("id").alias("second"), "g", F.col("other").alias("p"), F.col("block").alias("q"), *[F.col(c).alias(f"b_{c}") for c in carried if c != key])
+    return left.join(right, ["g", "p", "q"]).filter("first < second").drop("g", "p", "q")
+
+
 def pair_index(rows: DataFrame, key: str = "id", group: str | None = None) -> DataFrame:
-    """All pairs first < second of ids (of one group), as an equi-join of blocks: a task meets two blocks, never a whole table."""
-    if group is not None:
-        a = rows.select(F.col(key).alias("first"), F.col(group).alias(group))
-        return a.join(a.withColumnRenamed("first", "second"), group).filter("first < second")
-    blocks = max(1, math.ceil(rows.count() / (BLOCK * 16)))
-    ids = rows.select(F.col(key).alias("id")).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
-    left = ids.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("id", F.col("block").alias("p"), F.col("other").alias("q"))
-    right = ids.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(F.col("id").alias("id2"), F.col("other").alias("p"), F.col("block").alias("q"))
-    return left.join(right, ["p", "q"]).filter("id < id2").select(F.col("id").alias("first"), F.col("id2").alias("second"))
+    """All pairs first < second of ids (of one group)."""
+    return pair_rows(rows, [], key, group)
 
 
 def by_blocks(spaces: DataFrame, kernel: Callable[[pd.DataFrame, pd.DataFrame | None], pd.DataFrame], schema: str, targets: DataFrame | None = None, block: int = BLOCK, group: str | None = None) -> DataFrame:
@@ -147,15 +152,13 @@ def slb_pairwise(spaces: DataFrame, group: str | None = None) -> DataFrame:
     return by_blocks(spaces, kernel, "first string, second string, slb double", group=group)
 
 
-def slb_uniform(icdm: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
-    """Lower bounds of all pairs of spaces of one size with equal masses, as array expressions: the diagonal's share is the same for all and
-    cancels, and the k-th smallest distances face each other."""
-    ranked = icdm.select(F.col("cell_id").alias("id"), "n", F.array_sort("d").alias("d"))
-    a, b = ranked.selectExpr("id first", "n", "d x"), ranked.selectExpr("id second", "n m", "d y")
-    gaps = F.aggregate(F.zip_with("x", "y", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v)
-    pairs = pair_index(icdm.withColumnRenamed("cell_id", "id")) if pairs is None else pairs
-    met = pairs.select("first", "second").join(a, "first").join(b, "second").filter("n = m")
-    return met.select("first", "second", (0.5 * F.sqrt(2.0 * gaps / (F.col("n") * F.col("n")))).alias("slb"))
+def slb_uniform(icdm: DataFrame, group: str | None = None) -> DataFrame:
+    """Lower bounds of all pairs (of one group) of spaces of one size with equal masses, as array expressions: the diagonal's share is the same for
+    all and cancels, and the k-th smallest distances face each other."""
+    ranked = icdm.withColumn("d", F.array_sort("d"))
+    gaps = F.aggregate(F.zip_with("a_d", "b_d", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v)
+    met = pair_rows(ranked, ["n", "d"], "cell_id", group).filter("a_n = b_n")
+    return met.select("first", "second", (0.5 * F.sqrt(2.0 * gaps / (F.col("a_n") * F.col("a_n")))).alias("slb"))
 
 
 def quantile_steps(spaces: DataFrame) -> DataFrame:
@@ -337,14 +340,19 @@ def anchored(spaces: DataFrame, anchors: int, first: str, distance: Callable[[Da
         if len(chosen) == anchors or nearest is None or nearest.near == 0:
             break
         chosen.append(nearest.id)
-    return min_plus(found, pair_index(spaces)), chosen
+    return min_plus(found), chosen
 
 
-def min_plus(to_anchors: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(first, second, dist): the least sum of distances through an anchor, from rows (id, anchor, dist)."""
-    vector = to_anchors.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("anchor", "dist"))).alias("v"))
-    met = pairs.join(vector.selectExpr("id first", "v a"), "first").join(vector.selectExpr("id second", "v b"), "second")
-    sums = F.transform(F.map_keys("a"), lambda k: F.element_at("a", k) + F.element_at("b", k))
+def min_plus(to_anchors: DataFrame, pairs: DataFrame | None = None, group: str | None = None) -> DataFrame:
+    """(first, second, dist): the least sum of distances through an anchor, from rows (id, anchor, dist), for the given pairs or for all (of one
+    group)."""
+    keys = ["id", *([group] if group else [])]
+    vector = to_anchors.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("anchor", "dist"))).alias("v"))
+    if pairs is None:
+        met = pair_rows(vector, ["v"], "id", group)
+    else:
+        met = pairs.join(vector.selectExpr("id first", "v a_v"), "first").join(vector.selectExpr("id second", "v b_v"), "second")
+    sums = F.transform(F.map_keys("a_v"), lambda k: F.element_at("a_v", k) + F.element_at("b_v", k))
     return met.select("first", "second", F.array_min(sums).alias("dist"))
 
 
@@ -369,13 +377,15 @@ def split_pairs(ids: DataFrame, n_pairs: int | None, proportions: dict[str, floa
     return out
 
 
-def embedding_distances(embeddings: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
-    """(first, second, dist): squared Euclidean distances of embeddings (id, vector)."""
+def embedding_distances(embeddings: DataFrame, pairs: DataFrame | None = None, group: str | None = None) -> DataFrame:
+    """(first, second, dist): squared Euclidean distances of embeddings (id, vector), for the given pairs or for all (of one group)."""
     from ..functions.columns import squared_euclidean
 
-    pairs = pair_index(embeddings) if pairs is None else pairs
-    met = pairs.join(embeddings.selectExpr("id first", "vector a"), "first").join(embeddings.selectExpr("id second", "vector b"), "second")
-    return met.select("first", "second", squared_euclidean(F.col("a"), F.col("b")).alias("dist"))
+    if pairs is None:
+        met = pair_rows(embeddings, ["vector"], "id", group)
+    else:
+        met = pairs.join(embeddings.selectExpr("id first", "vector a_vector"), "first").join(embeddings.selectExpr("id second", "vector b_vector"), "second")
+    return met.select("first", "second", squared_euclidean(F.col("a_vector"), F.col("b_vector")).alias("dist"))
 
 
 def mapped_distances(ground: np.ndarray, mapped: DataFrame, pairs: DataFrame | None = None) -> DataFrame:

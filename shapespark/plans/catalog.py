@@ -168,7 +168,7 @@ def class_pairs(spark, sf_dir) -> DataFrame:
 
 def class_bounds(spark, sf_dir) -> DataFrame:
     """Lower bounds of all pairs within a class, as distances."""
-    return materialise(pairs.slb_uniform(views.icdm(spark, sf_dir), class_pairs(spark, sf_dir)).withColumnRenamed("slb", "dist"), "bounds")
+    return materialise(pairs.slb_uniform(views.spaces(spark, sf_dir).withColumnRenamed("id", "cell_id"), "label").withColumnRenamed("slb", "dist"), "bounds")
 
 
 @query
@@ -270,13 +270,14 @@ def anchor_minplus(spark, sf_dir):
     v = materialise(views.vectors(spark, sf_dir), "vectors")
     first = v.groupBy("label").agg(F.min("id").alias("anchor")).select("anchor")
     anchor = first.join(v.selectExpr("id anchor", "vector w"), "anchor")
-    to = v.join(F.broadcast(anchor)).select("id", "anchor", columns.euclidean(F.col("vector"), F.col("w")).alias("dist"))
-    return rounded(pairs.min_plus(to, pairs.pair_index(v, group="label")), "dist")
+    # one anchor a class, ten in all: the vectors' own labels name them
+    to = v.join(F.broadcast(anchor), F.lit(True)).select("id", "label", "anchor", columns.euclidean(F.col("vector"), F.col("w")).alias("dist"))
+    return rounded(pairs.min_plus(to, group="label"), "dist")
 
 
 @query
 def embedding_distance(spark, sf_dir):
-    return rounded(pairs.embedding_distances(views.vectors(spark, sf_dir), class_pairs(spark, sf_dir)), "dist")
+    return rounded(pairs.embedding_distances(views.vectors(spark, sf_dir), group="label"), "dist")
 
 
 @query
@@ -419,8 +420,8 @@ def bh_qvalue(spark, sf_dir):
 
 def three_distances(spark, sf_dir) -> DataFrame:
     halves = views.vectors(spark, sf_dir)
-    d2 = pairs.embedding_distances(halves.withColumn("vector", F.slice("vector", 1, 32)), class_pairs(spark, sf_dir)).withColumnRenamed("dist", "d2")
-    d3 = pairs.embedding_distances(halves.withColumn("vector", F.slice("vector", 33, 32)), class_pairs(spark, sf_dir)).withColumnRenamed("dist", "d3")
+    d2 = pairs.embedding_distances(halves.withColumn("vector", F.slice("vector", 1, 32)), group="label").withColumnRenamed("dist", "d2")
+    d3 = pairs.embedding_distances(halves.withColumn("vector", F.slice("vector", 33, 32)), group="label").withColumnRenamed("dist", "d3")
     return materialise(class_bounds(spark, sf_dir).withColumnRenamed("dist", "d1").join(d2, ["first", "second"]).join(d3, ["first", "second"]), "three")
 
 
