@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns
 from ..operators import adaptive, graphs, images, pairs, sampling, statistics, trees
 from ..sources import swc, tables
-from ..storage import materialise, scratch_dir
+from ..storage import materialise, scratch_path
 from . import views
 
 QUERIES: dict = {}
@@ -25,12 +25,6 @@ def rounded(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({n: F.round(n, PLACES) for n in names})
 
 
-def fresh(spark: SparkSession, name: str) -> str:
-    import uuid
-
-    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 # Forests.
 
 
@@ -47,7 +41,7 @@ def swc_parse(spark, sf_dir):
 @query
 def swc_roundtrip(spark, sf_dir):
     """Trees written as trace files and read back."""
-    folder = fresh(spark, "swc")
+    folder = scratch_path(spark, "swc")
     swc.write_swc(views.trees(spark, sf_dir), folder)
     return swc.read_written(spark, folder).drop("line_no")
 
@@ -157,7 +151,7 @@ def icdm_summary(spark, sf_dir):
 @query
 def icdm_roundtrip(spark, sf_dir):
     """Condensed matrices written as CSV and read back."""
-    path = fresh(spark, "icdm")
+    path = scratch_path(spark, "icdm")
     tables.write_icdm(views.icdm(spark, sf_dir), path, views.POINTS)
     return rounded(tables.read_icdm(spark, path).select("cell_id", "n", F.aggregate("d", F.lit(0.0), lambda s, x: s + x).alias("total")), "total")
 
@@ -200,7 +194,7 @@ def inverse_cdf(spark, sf_dir):
 @query
 def distances_roundtrip(spark, sf_dir):
     """Distances written as CSV, read back, and made symmetric."""
-    path = fresh(spark, "distances")
+    path = scratch_path(spark, "distances")
     tables.write_distances(rounded(class_bounds(spark, sf_dir), "dist"), path)
     return tables.symmetric(tables.read_distances(spark, path))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -13,18 +15,25 @@ BROADCAST_BYTES = 24 << 20
 
 
 def scratch_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, or a temporary folder where that is unset."""
     context = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="shapespark-")
+    if not found:  # one machine, as in tests
+        own = tempfile.mkdtemp(prefix="shapespark-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        found = "file://" + own
     if not context.getCheckpointDir():
         context.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write and read back: cuts the lineage of iterative plans, and survives lost executors."""
-    path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
