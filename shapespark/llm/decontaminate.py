@@ -25,8 +25,8 @@ WINDOW = 13
 GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The bits of a packed fingerprint that hold its position; the hash is above.
 PLACE_BITS = 30
-#: Rows of the benchmark's index, of some 300 bytes, that one broadcast may hold.
-SLICE_ROWS = 150_000
+#: Rows of the benchmark's index, of some 500 bytes, that one broadcast may hold.
+SLICE_ROWS = 60_000
 PERCENT = 20
 
 

@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import BROADCAST_BYTES, materialise, scratch_dir, scratch_path
+
+__all__ = ["BATCH_ROWS", "BROADCAST_BYTES", "ascii_lower", "bounded_batches", "components", "fresh", "let", "materialise", "row_keys", "scratch_dir", "scratch_path", "table"]
+
 #: Rows of one Arrow batch handed to a Python kernel: texts of some 100 kB each stay within tens of MB.
 BATCH_ROWS = 500
-#: A side may be broadcast when its measured size is at most this.
-BROADCAST_BYTES = 24 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,28 +24,6 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
-    context = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="shapespark-")
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write a DataFrame to the shared folder and read it back: a cut of the lineage that survives lost executors."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that the DataFrame doesn't have yet."""
     taken = {c.lower() for c in df.columns}
@@ -71,11 +49,6 @@ def row_keys(df: DataFrame) -> list[Column]:
     return [F.xxhash64(F.lit(1), *columns), F.xxhash64(F.lit(2), *columns)]
 
 
-def within(df: DataFrame, limit: int = BROADCAST_BYTES, row_bytes: int = 64) -> bool:
-    """Whether a (materialised) DataFrame is small enough to be broadcast, by its counted rows."""
-    return df.count() * row_bytes <= limit
-
-
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of the graph with edges (u, v), both long: rows (u, v) with v the smallest node of u's component; nodes that are
     the smallest themselves have no row. Alternates large-star and small-star steps, which needs rounds in the order of log(nodes); each round
