@@ -297,9 +297,8 @@ def gw_query_target(spark, sf_dir):
 
 @query
 def gw_weighted(spark, sf_dir):
-    """Unequal masses, first vectors of classes against each other."""
-    s = materialise(views.weighted_spaces(spark, sf_dir), "spaces")
-    return rounded(pairs.gw_pairwise(s.join(F.broadcast(s.groupBy("label").agg(F.min("id").alias("id")).select("id")), "id", "left_semi")), "dist")
+    """Unequal masses."""
+    return rounded(pairs.gw_pairwise(materialise(views.weighted_spaces(spark, sf_dir), "spaces")), "dist")
 
 
 @query
@@ -312,32 +311,25 @@ def qgw_pairwise(spark, sf_dir):
     return rounded(pairs.qgw_pairwise(views.spaces(spark, sf_dir), 6, group="label"), "dist")
 
 
-def class_firsts(spark, sf_dir, count: int = 3) -> DataFrame:
-    from pyspark.sql import Window
-
-    s = views.spaces(spark, sf_dir)
-    return s.withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy("id"))).filter(F.col("r") <= count).drop("r")
-
-
 @query
 def fused_gw(spark, sf_dir):
-    return pairs.fused_pairwise(materialise(class_firsts(spark, sf_dir), "spaces"), pairs.kind_penalties(1.0, 0.5), worst_increase=0.1)
+    return pairs.fused_pairwise(materialise(views.spaces(spark, sf_dir), "spaces"), pairs.kind_penalties(1.0, 0.5), worst_increase=0.1)
 
 
 @query
 def unbalanced_gw(spark, sf_dir):
-    return pairs.unbalanced_pairwise(materialise(class_firsts(spark, sf_dir), "spaces"), 0.8, 0.5)
+    return pairs.unbalanced_pairwise(materialise(views.spaces(spark, sf_dir), "spaces"), 0.8, 0.5)
 
 
 @query
 def adaptive_neighbours(spark, sf_dir):
-    s = materialise(class_firsts(spark, sf_dir, 8), "spaces")
+    s = materialise(views.spaces(spark, sf_dir), "spaces")
     return adaptive.adaptive_neighbours(s, 6, 0.95, 3, per_bin=30)
 
 
 @query
 def deformation(spark, sf_dir):
-    s = materialise(class_firsts(spark, sf_dir), "spaces")
+    s = materialise(views.spaces(spark, sf_dir), "spaces")
     return graphs.deformations(s, pairs.gw_pairwise(s, True))
 
 
