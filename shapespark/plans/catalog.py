@@ -183,7 +183,7 @@ def slb_weighted(spark, sf_dir):
 
 @query
 def slb_kernel(spark, sf_dir):
-    return rounded(pairs.slb_pairwise(views.weighted_spaces(spark, sf_dir), group="label"), "slb")
+    return rounded(pairs.slb_pairwise(views.weighted_spaces(spark, sf_dir)), "slb")
 
 
 @query
@@ -284,7 +284,7 @@ def pair_splits(spark, sf_dir):
 
 @query
 def gw_pairwise(spark, sf_dir):
-    return rounded(pairs.gw_pairwise(views.spaces(spark, sf_dir), group="label"), "dist")
+    return rounded(pairs.gw_pairwise(views.spaces(spark, sf_dir)), "dist")
 
 
 @query
@@ -303,12 +303,12 @@ def gw_weighted(spark, sf_dir):
 
 @query
 def gw_couplings(spark, sf_dir):
-    return pairs.couplings(pairs.gw_pairwise(views.spaces(spark, sf_dir), True, group="label")).groupBy("first", "second").agg(F.count("*").alias("n"), F.round(F.sum("mass"), PLACES).alias("mass"))
+    return pairs.couplings(pairs.gw_pairwise(views.spaces(spark, sf_dir), True)).groupBy("first", "second").agg(F.count("*").alias("n"), F.round(F.sum("mass"), PLACES).alias("mass"))
 
 
 @query
 def qgw_pairwise(spark, sf_dir):
-    return rounded(pairs.qgw_pairwise(views.spaces(spark, sf_dir), 6, group="label"), "dist")
+    return rounded(pairs.qgw_pairwise(views.spaces(spark, sf_dir), 6), "dist")
 
 
 @query
@@ -335,12 +335,12 @@ def deformation(spark, sf_dir):
 
 @query
 def louvain(spark, sf_dir):
-    return graphs.louvain(class_bounds(spark, sf_dir), 6)
+    return graphs.louvain(all_bounds(spark, sf_dir), 6)
 
 
 @query
 def leiden(spark, sf_dir):
-    return graphs.leiden(class_bounds(spark, sf_dir), 6)
+    return graphs.leiden(all_bounds(spark, sf_dir), 6)
 
 
 # Consensus shapes, on a coupling that turns each cloud's points by one.
