@@ -393,8 +393,10 @@ def mapped_distances(ground: np.ndarray, mapped: DataFrame, pairs: DataFrame | N
     `ground`. It has the size of one cell and goes with the task."""
     from ..functions.transport import emd_cost
 
-    pairs = pair_index(mapped.select("id").distinct()) if pairs is None else pairs
-    met = pairs.join(mapped.selectExpr("id first", "channel", "mass a"), "first").join(mapped.selectExpr("id second", "channel", "mass b"), ["second", "channel"])
+    if pairs is None:
+        met = pair_rows(mapped, ["channel", "mass"], "id", "channel").selectExpr("first", "second", "a_channel channel", "a_mass a", "b_mass b")
+    else:
+        met = pairs.join(mapped.selectExpr("id first", "channel", "mass a"), "first").join(mapped.selectExpr("id second", "channel", "mass b"), ["second", "channel"])
 
     def each(batches):
         for rows in batches:

@@ -491,10 +491,9 @@ def image_cells(spark, sf_dir):
 
 @query
 def mapped_ot(spark, sf_dir):
-    """Signals of discs of up to 9 pixels mapped to the first one, and compared there."""
-    cells = materialise(images.cells_of(views.discs(spark, sf_dir).filter("label > 0"), ["signal"], n_boundary=8, border=False).filter("size <= 9"), "cells")
+    """Signals of all discs mapped to the first one, and compared there."""
+    cells = materialise(images.cells_of(views.discs(spark, sf_dir).filter("label > 0"), ["signal"], n_boundary=8, border=False), "cells")
     anchor = cells.agg(F.min("cell_id")).first()[0]
     row = cells.filter(F.col("cell_id") == anchor).first()
     mapped = materialise(images.map_to_anchor(cells, anchor, ["signal"]), "mapped")
-    wanted = mapped.select(F.least("id", F.lit(anchor)).alias("first"), F.greatest("id", F.lit(anchor)).alias("second")).filter("first <> second")
-    return rounded(pairs.mapped_distances(images.cell_matrix(np.asarray(row.coords)), mapped.select("id", "channel", "mass"), wanted), "dist")
+    return rounded(pairs.mapped_distances(images.cell_matrix(np.asarray(row.coords)), mapped.select("id", "channel", "mass")), "dist")
