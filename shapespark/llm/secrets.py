@@ -43,13 +43,21 @@ BASE = (
     # the same spans as [0-9a-f]+ with shorter ones dropped: a run of these characters matches whole or not at all
     Rule("hex", r"[0-9a-f]{24,}"),
 )
+#: What follows a private key's first line: anything up to its last line (single dashes are those of header lines), or, where that is missing,
+#: known header lines and base64 lines: up to the last long run, and one run more. Java, RE2 and Python read it alike; runs of one class need no
+#: stack, however long they are.
+KEY_BODY = (
+    r"(?:[^-]*(?:-[^-]+){0,64}-----END [A-Z ]*PRIVATE KEY-----"
+    r"|(?:[\x20\t\r\n\\]*Proc-Type:\x20*4,ENCRYPTED[\x20\t\r\nn\\]*DEK-Info:\x20*[A-Z0-9-]+,[0-9A-Fa-f]+)?"
+    r"(?:[A-Za-z0-9+/=\\\x20\t\r\n]*[A-Za-z0-9+/=]{40}[A-Za-z0-9+/=]*(?:[\x20\t\r\n\\]+[A-Za-z0-9+/]+=*)?|[\x20\t\r\n\\]+[A-Za-z0-9+/]{16,}=*)?)"
+)
 MORE = (
-    Rule("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
-    Rule("code_host", r"gh[pousr]_[A-Za-z0-9]{36,255}"),
-    Rule("chat_bot", r"xox[abprs]-[A-Za-z0-9-]{10,200}"),
+    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----" + KEY_BODY),
+    Rule("code_host", r"gh[pousr]_[A-Za-z0-9]{36,}"),
+    Rule("chat_bot", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("cloud_key", r"AIza[A-Za-z0-9_-]{35}"),
-    Rule("web_token", r"eyJ[A-Za-z0-9_-]{10,900}\.eyJ[A-Za-z0-9_-]{10,900}\.[A-Za-z0-9_-]{10,900}"),
-    Rule("payment", r"[sr]k_live_[A-Za-z0-9]{16,200}"),
+    Rule("web_token", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
+    Rule("payment", r"[sr]k_live_[A-Za-z0-9]{16,}"),
 )
 RULES = BASE + MORE
 #: Texts of one block of the index, about.
