@@ -31,7 +31,7 @@ TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?
 ATTRIBUTE = re.compile(r"([a-zA-Z_:][\w:.-]*)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 # fixed values: HTML's own element names
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe template svg math object select".split())
+RAW = frozenset("script style textarea title noscript iframe template".split())
 INLINE = frozenset("a abbr b bdi bdo cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr big".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dd dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul".split())
 #: What a start tag closes, up to the nearest of the bounds.
@@ -47,7 +47,7 @@ BAD = {
     "comment": frozenset("comment comments reply replies respond disqus discussion feedback thread reader".split()),
 }
 TAGS = ("p", "div", "article", "main", "section", "nav", "header", "footer", "aside", "form", "ul", "li", "a", "h1", "h2", "span", "td", "body", "blockquote", "figure", "pre", "button")
-NEVER = frozenset("script style noscript iframe template svg math object head title select textarea button input form nav".split())
+NEVER = frozenset("script style noscript iframe template svg head title select textarea button input form nav".split())
 WIDTH = len(TAGS) + 1 + 2 * (1 + len(BAD)) + 22
 
 

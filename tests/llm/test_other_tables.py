@@ -115,6 +115,17 @@ def test_main_text_of_hard_pages(spark, odd):
     assert [d for d in html_text.main_texts(model, ["<script>x</script><style>y</style>"])] == [""]
 
 
+def test_main_text_keeps_formulas_and_fallbacks():
+    model = html_text.trained_model()
+    body = "A long sentence about rivers, hills and towns, which goes on for a while. " * 4
+    page = lambda inner: f"<html><body><nav><ul><li><a href=x>Home</a></ul></nav><article><h1>Title</h1><p>{body}{inner}<p>{body}</article><footer>&copy; x</footer>"
+    kept = " ".join(f"Title {body}".split())
+    for inner, more in (("<math><mi>speed</mi></math> is it.", "speed is it."), ("<object data=a>A map of the river.</object>", "A map of the river.")):
+        assert html_text.main_texts(model, [page(inner)])[0] == " ".join(f"{kept} {more} {body}".split())
+    for tag in ("svg", "object", "math", "select"):
+        assert html_text.main_texts(model, [page(f"<{tag}>")])[0].count("A long sentence") == 8, tag
+
+
 def test_main_text_held_out():
     """Characters of generated pages that training hasn't seen."""
     model, layout = html_text.trained_model(), html_text.Layout(12345)
