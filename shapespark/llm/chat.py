@@ -6,8 +6,8 @@ ranked by the mean score of their path (then longer paths, then smaller ids firs
 conversation each. Chosen paths are enumerated by going down the same tables of ancestors from the farthest to the nearest; each message of a
 path is met once.
 
-A turn is written "### ROLE\nTEXT</turn>\n". In a text, "\" is written "\\", "###" is "\#\#\#" and "</turn>" is "<\/turn>", so markers occur
-nowhere else and a backslash always stands before the character that it keeps. In a role "%", "#" and line feeds are percent-encoded. The loss
+A turn is written "### ROLE\nTEXT</turn>\n". In a text, "\" is written "\\", "###" is "\#\#\#" and "</turn>" is "<\/turn>", so end markers
+occur nowhere else (of five or more "#" in a row three can stay) and a backslash always stands before the character that it keeps. In a role "%", "#" and line feeds are percent-encoded. The loss
 mask is the array of [start, end) spans, in code points, of the escaped texts of the trained roles.
 
 Defined cases: a null text or role is an empty one; messages of a null tree are one tree; a message whose parent isn't there starts a tree of
