@@ -8,8 +8,9 @@ without a mandatory trigram scan all texts.
 Trigrams are taken from lower-cased texts, which only adds candidates. Positions are in code points. A text is split by the expression, so
 that the lengths of the pieces between matches and of the matches give all positions.
 
-Defined cases: a null text is an empty one; an empty text has no spans; rows that share a doc_id, or repeat wholly, each get a row; a null
-doc_id is kept; an empty table gives no rows; other columns are ignored (in redact_secrets: returned).
+Defined cases: a null text is an empty one; an empty text has no spans; a very long text is scanned whole, in time in proportion to its length
+and matches; spans that start alike are ordered by kind, as listed; rows that share a doc_id, or repeat wholly, each get a row; a null doc_id is
+kept; an empty table gives no rows; other columns are ignored (in redact_secrets: returned).
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from re import _parser
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import fresh, let, row_keys, table
+from .shared import BROADCAST_BYTES, fresh, let, materialise, row_keys, running, table
 
 
 @dataclass(frozen=True)
@@ -62,6 +63,10 @@ MORE = (
 RULES = BASE + MORE
 #: Texts of one block of the index, about.
 BLOCK_TEXTS = 16_384
+#: Code points of one block of a text that is cut into parts.
+TEXT_BLOCK = 1024
+#: What a candidate's key takes in a broadcast table, about; and the tasks that equal rows are dealt to where candidates are too many for one.
+CANDIDATE_BYTES, SALTS = 48, 64
 
 # A query is True (any text), a trigram, or ("and" | "or", frozenset of queries).
 Query = bool | str | tuple
@@ -179,26 +184,22 @@ def candidates(index: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     return lists.select(F.explode(hits).alias("hit")).groupBy("hit.key").agg(F.bit_or("hit.bit").alias("bits"))
 
 
-def _spans(text: Column, number: int, rule: Rule) -> Column:
-    """Array of (start, number, end) of a rule's matches."""
-    pattern = F.lit(rule.pattern)
-
-    def placed(matches: Column) -> Column:
-        def walked(gaps: Column) -> Column:
-            step = lambda acc, i: F.struct(
-                (acc["at"] + F.char_length(F.element_at(gaps, i)) + F.char_length(F.element_at(matches, i))).alias("at"),
-                F.when(_wanted(F.element_at(matches, i), rule), F.concat(acc["out"], F.array(_span(acc["at"] + F.char_length(F.element_at(gaps, i)), number, F.char_length(F.element_at(matches, i)))))).otherwise(acc["out"]).alias("out"),
-            )
-            start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,number:int,end:int>>").alias("out"))
-            return F.aggregate(F.sequence(F.lit(1), F.size(matches)), start, step, lambda acc: acc["out"])
+EMPTY = "array<struct<start:int,number:int,end:int>>"
 
-        return F.when(F.size(matches) > 0, let(F.split(text, rule.pattern, -1), walked)).otherwise(F.array().cast("array<struct<start:int,number:int,end:int>>"))
 
-    return let(F.regexp_extract_all(text, pattern, F.lit(0)), placed)
+def _spans(text: Column, number: int, rule: Rule) -> Column:
+    """Array of (start, number, end) of a rule's matches: a match starts after all gaps up to it and all matches before it."""
 
+    def placed(matches: Column) -> Column:
+        gaps = F.transform(F.split(text, rule.pattern, -1), lambda g: F.char_length(g))
+        lengths = F.transform(matches, lambda m: F.char_length(m))
+        # steps[i] is a gap and the match before it; its running sum, with the step itself, is where match i starts
+        steps = let(lengths, lambda n: let(gaps, lambda g: F.transform(n, lambda _, i: F.element_at(g, i + 1) + F.when(i > 0, F.element_at(n, F.greatest(i, F.lit(1)))).otherwise(0))))
+        starts = let(steps, lambda st: F.zip_with(running(st, lambda x, y: x + y, F.lit(0)), st, lambda x, y: x + y))
+        spans = F.zip_with(starts, matches, lambda at, m: F.when(_wanted(m, rule), F.struct(at.alias("start"), F.lit(number).alias("number"), (at + F.char_length(m)).alias("end"))))
+        return F.when(F.size(matches) > 0, F.filter(spans, lambda x: x.isNotNull())).otherwise(F.array().cast(EMPTY))
 
-def _span(start: Column, number: int, length: Column) -> Column:
-    return F.struct(start.alias("start"), F.lit(number).alias("number"), (start + length).alias("end"))
+    return let(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0)), placed)
 
 
 def _wanted(match: Column, rule: Rule) -> Column:
@@ -209,15 +210,19 @@ def _wanted(match: Column, rule: Rule) -> Column:
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
     """docs and the array column `found` of (start, number of the rule, end), sorted. Only rows that share a key with a candidate are matched
-    against rules that have a trigram query."""
-    key, bits, found = (fresh(docs, x) for x in ("key", "bits", "found"))
-    empty = F.array().cast("array<struct<start:int,number:int,end:int>>")
+    against rules that have a trigram query. Candidates' keys are broadcast if they are few by count, so texts stay where they are read; beyond
+    that rows meet them by key and salt."""
+    key, bits, found, salt = (fresh(docs, x) for x in ("key", "bits", "found", "salt"))
     whole = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     keyed = docs.withColumn(key, row_keys(docs)[0])
-    hits = candidates(build_index(keyed.select(F.col(key).alias("key"), whole.alias("text")), rules), rules).select(F.col("key").alias(key), F.col("bits").alias(bits))
-    joined = keyed.join(hits, key, "left")
+    hits = materialise(candidates(build_index(keyed.select(F.col(key).alias("key"), whole.alias("text")), rules), rules).select(F.col("key").alias(key), F.col("bits").alias(bits)), "candidates")
+    if hits.count() * CANDIDATE_BYTES <= BROADCAST_BYTES:
+        joined = keyed.join(F.broadcast(hits), key, "left")
+    else:  # equal rows have one key: they are dealt out by where they are read
+        dealt = hits.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = keyed.withColumn(salt, F.pmod(F.spark_partition_id(), F.lit(SALTS))).join(dealt, [key, salt], "left").drop(salt)
     may = lambda n, r: F.lit(True) if trigram_query(r.pattern) is True else F.coalesce(F.col(bits), F.lit(0)).bitwiseAND(F.lit(1 << n)) != 0
-    spans = F.concat(*[F.when(may(n, r), _spans(whole, n, r)).otherwise(empty) for n, r in enumerate(rules)])
+    spans = F.concat(*[F.when(may(n, r), _spans(whole, n, r)).otherwise(F.array().cast(EMPTY)) for n, r in enumerate(rules)])
     return joined.withColumn(found, F.array_sort(spans)).drop(key, bits)
 
 
@@ -239,18 +244,40 @@ def secret_report(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(spelled(base), 256).alias("base_sha256"), spelled(F.col("found")).alias("spans"))
 
 
+def _pieces(text: Column, ranges: Column) -> Column:
+    """The parts [from, to) of a text, in code points. The text is cut into blocks once, so that no part is looked for from the text's start."""
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{TEXT_BLOCK}}}"), F.lit(0))
+
+    def part(every: Column) -> Callable[[Column], Column]:
+        def of(r: Column) -> Column:
+            first = F.floor(r["from"] / TEXT_BLOCK).cast("int")
+            reached = F.slice(every, first + 1, F.ceil(r["to"] / TEXT_BLOCK).cast("int") - first)
+            cut = lambda b, i: F.when((i > 0) & ((first + i + 1) * TEXT_BLOCK <= r["to"]), b).otherwise(F.substring(b, F.when(i == 0, r["from"] - first * TEXT_BLOCK).otherwise(0) + 1, r["to"] - F.greatest(r["from"], (first + i) * TEXT_BLOCK)))
+            return F.when(r["to"] > r["from"], F.array_join(F.transform(reached, cut), "")).otherwise("")
+
+        return of
+
+    return let(blocks, lambda every: F.transform(ranges, part(every)))
+
+
+def _redacted(text: Column, found: Column) -> Column:
+    """A text with [secret] for each group of overlapping spans, which are sorted by their starts."""
+
+    def cut(reach: Column) -> Column:
+        # reach: the furthest end of all spans before each; where a span starts beyond it, the text between is kept
+        kept = F.filter(F.zip_with(found, reach, lambda s, r: F.struct(r.alias("from"), s["start"].alias("to"))), lambda r: r["to"] >= r["from"])
+        last = F.struct(F.array_max(F.transform(found, lambda s: s["end"])).alias("from"), F.char_length(text).alias("to"))
+        return F.array_join(_pieces(text, F.concat(kept, F.array(last))), "[secret]")
+
+    return let(running(F.transform(found, lambda s: s["end"]), lambda x, y: F.greatest(x, y), F.lit(0)), cut)
+
+
 def redact_secrets(docs: DataFrame, text: str = "text", length: str | None = "n_chars") -> DataFrame:
     """docs with every span replaced by [secret], overlapping spans by one; the column `length`, if there is one, follows."""
     found = fresh(docs, "found")
     scanned = scan(docs, RULES, text)
     whole = F.col(f"`{text}`")
-    # pieces between spans: from the furthest end so far to the next start
-    step = lambda acc, s: F.struct(
-        F.greatest(acc["at"], s["end"]).alias("at"),
-        F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.substring(whole, acc["at"] + 1, s["start"] - acc["at"]), F.lit("[secret]"))).otherwise(acc["out"]).alias("out"),
-    )
-    cut = F.aggregate(found, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(whole, acc["at"] + 1, F.lit(2**31 - 1) - acc["at"] - 1)))
-    out = scanned.withColumn(text, F.when(F.size(found) > 0, cut).otherwise(whole))
+    out = scanned.withColumn(text, F.when(F.size(found) > 0, _redacted(whole, F.col(found))).otherwise(whole))
     if length in docs.columns:
         out = out.withColumn(length, F.when(F.size(found) > 0, F.char_length(f"`{text}`").cast(docs.schema[length].dataType)).otherwise(F.col(f"`{length}`")))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])
