@@ -7,13 +7,14 @@ import random
 import re
 import time
 
+import numpy as np
 import pytest
 
 pytest.importorskip("xxhash")
 
 from pyspark.sql import functions as F  # noqa: E402
 
-from shapespark.llm import secrets, shared  # noqa: E402
+from shapespark.llm import secrets, shared, simhash  # noqa: E402
 
 
 def test_row_keys_tell_moved_nulls_apart(spark):
@@ -80,3 +81,49 @@ def test_secrets_with_many_candidates(spark, monkeypatch):
     want = sorted(map(repr, secrets.secret_report(docs).collect()))
     monkeypatch.setattr(secrets, "CANDIDATE_BYTES", 1 << 40)
     assert sorted(map(repr, secrets.secret_report(docs.repartition(5)).collect())) == want
+
+
+def test_postings_share_a_block():
+    """Whichever two bytes differ, one of the choices of four positions is shared."""
+    from itertools import combinations
+
+    assert all(any(not set(b) & set(spoiled) for b in simhash.BLOCKS) for spoiled in combinations(range(8), 2))
+
+
+@pytest.mark.parametrize("most", [1 << 16, 40])
+def test_links_against_all_pairs(spark, monkeypatch, most):
+    """Fingerprints around a few centres, in lists of all lengths, with crowded lists and with none."""
+    monkeypatch.setattr(simhash, "LIST_MOST", most)
+    monkeypatch.setattr(simhash, "CHUNK", 700)
+    rng = np.random.default_rng(11)
+    centres = rng.integers(-(1 << 63), 1 << 63, 6, dtype=np.int64)
+    prints = {0, -1, 1, 3, 7}
+    for c in centres.tolist():
+        for bits in (16, 30, 64):
+            for _ in range(90):
+                flip = sum(1 << at for at in set(rng.integers(64 - bits, 64, rng.integers(0, 5)).tolist()))
+                value = (c ^ flip) % (1 << 64)
+                prints.add(value - (1 << 64) if value >> 63 else value)
+    prints = sorted(prints)
+    near = [(i, j) for i in range(len(prints)) for j in range(i) if ((prints[i] ^ prints[j]) & ((1 << 64) - 1)).bit_count() <= 2]
+    root = simhash._local_roots(len(prints), np.array([i for i, _ in near]), np.array([j for _, j in near]))
+    want = {p: prints[root[i]] for i, p in enumerate(prints)}
+    frame = spark.createDataFrame([(p,) for p in prints], "fp long").repartition(3)
+    got = {r.u: r.v for r in shared.components(simhash.links(frame)).collect()}
+    assert {p: got.get(p, p) for p in prints} == want
+
+
+def test_keep_one_tells_rows_apart(spark, tmp_path, monkeypatch):
+    """Rows that differ by a moved null, or not at all: one of each group stays, whether those that go are broadcast or not."""
+    text = "some words that are the same in every one of these rows"
+    rows = [(1, None, "x", "s", None), (1, "x", None, "s", None)] + [(2, text, "en", "s", i % 2) for i in range(9)] + [(None, text + " and more than that, much more", "en", None, 1), (3, "x", "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, `_metadata` int")
+    docs.repartition(3).write.parquet(str(tmp_path / "docs"))
+    written = spark.read.parquet(str(tmp_path / "docs"))
+    for size in (48, 1 << 40):
+        monkeypatch.setattr(simhash, "GONE_BYTES", size)
+        for frame in (docs, written):
+            kept = simhash.keep_one(frame)
+            assert kept.columns == docs.columns
+            found = sorted(map(tuple, kept.collect()), key=repr)
+            assert [r[:3] for r in found] == sorted([(1, None, "x"), (1, "x", None), (2, text, "en"), (None, text + " and more than that, much more", "en")], key=repr)
