@@ -7,8 +7,9 @@ states by dynamic programming, all article, all boilerplate, or mixed (at a pric
 that is boilerplate as a whole, nor the reverse.
 
 Defined cases: null or empty html gives an empty text; a page without an article gives what its nodes score, often an empty text; markup that
-isn't closed is closed as browsers do for paragraphs, list items, table parts and at the end; rows that share a page_id each get a row; an
-empty table gives no rows; other columns are ignored.
+isn't closed is closed as browsers do for paragraphs, list items, table parts and at the end; a script or style without an end goes on to the end
+of the page; very long or deep pages are read whole, in time in proportion to their length; states that cost the same are taken in the order
+article, boilerplate, mixed; rows that share a page_id, or repeat wholly, each get a row; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 
@@ -27,12 +29,16 @@ from pyspark.sql import functions as F
 from .boost import Boosted, fit
 from .shared import bounded_batches, table
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+EDGE = re.compile(r"[>\"']")
 ATTRIBUTE = re.compile(r"([a-zA-Z_:][\w:.-]*)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 # fixed values: HTML's own element names
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe template".split())
-INLINE = frozenset("a abbr b bdi bdo cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr big".split())
+RAW = frozenset("script style textarea title iframe template".split())
+#: Of these, what isn't closed goes on to the end of the page; others that aren't closed are read as plain elements.
+UNREAD = frozenset("script style".split())
+FOREIGN = ("svg", "math")
+INLINE = frozenset("a abbr b bdi bdo cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr big object math mi mn mo ms mtext mrow mfrac msqrt mroot msup msub msubsup munder mover munderover mstyle semantics".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dd dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul".split())
 #: What a start tag closes, up to the nearest of the bounds.
 IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
@@ -46,63 +52,143 @@ BAD = {
     "notice": frozenset("cookie cookies consent notice popup modal overlay alert gdpr newsletter subscribe signup login form search share social".split()),
     "comment": frozenset("comment comments reply replies respond disqus discussion feedback thread reader".split()),
 }
-TAGS = ("p", "div", "article", "main", "section", "nav", "header", "footer", "aside", "form", "ul", "li", "a", "h1", "h2", "span", "td", "body", "blockquote", "figure", "pre", "button")
-NEVER = frozenset("script style noscript iframe template svg head title select textarea button input form nav".split())
+TAGS = ("p", "div", "article", "main", "section", "nav", "header", "footer", "aside", "form", "ul", "li", "a", "h1", "h2", "span", "td", "body", "blockquote", "figure", "pre", "button", "noscript")
+NEVER = frozenset("script style iframe template svg head title select textarea button input form nav".split())
 WIDTH = len(TAGS) + 1 + 2 * (1 + len(BAD)) + 22
 
 
+class Scanner:
+    """Cuts a page's source into ("text", "", text), ("start", name, attributes) and ("end", name, ""), in time in proportion to its length. A
+    quote opens a value only after "="; one that isn't closed, or closes where another attribute's value opens behind a ">", is no quote.
+    Comments end at "-->", or, where that is missing, at ">"; "<" that starts nothing, or isn't closed, is text."""
+
+    def __init__(self, source: str):
+        self.source, self.at, self.missing, self.quotes = source, 0, {}, True
+
+    def find(self, what: str, at: int) -> int:
+        """As str.find; what isn't found is remembered, so the rest is searched for it once."""
+        if self.missing.get(what, len(self.source) + 1) <= at:
+            return -1
+        found = self.source.find(what, at)
+        if found < 0:
+            self.missing[what] = at
+        return found
+
+    def skip(self, name: str) -> bool:
+        """Go behind the end tag of a raw element; False if there is none and the element is to be read like others."""
+        if name not in self.missing:
+            end = re.compile(rf"</{re.escape(name)}(?![^\s/>])[^>]*>", re.I).search(self.source, self.at)
+            if end:
+                self.at = end.end()
+                return True
+            self.missing[name] = self.at
+        if name in UNREAD:
+            self.at = len(self.source)
+        return name in UNREAD
+
+    def tag_end(self, at: int) -> int:
+        """The place of the ">" of a tag whose attributes start here; some ">" follows. If all are in quotes, it is the first, and
+        quotes say nothing from here on."""
+        source, begin = self.source, at
+        while self.quotes and self.find(">", at) >= 0:
+            edge = EDGE.search(source, at)
+            i = edge.start()
+            if edge[0] == ">":
+                return i
+            before = i - 1
+            while before > begin and source[before].isspace():
+                before -= 1
+            at = i + 1
+            if before >= begin and source[before] == "=":
+                shut = self.find(edge[0], at)
+                inside = self.find(">", at)
+                if shut >= 0 and not (0 <= inside < shut and source[max(at, shut - 64) : shut].rstrip().endswith("=")):
+                    at = shut + 1
+        self.quotes = False
+        return self.find(">", begin)
+
+    def markup(self, at: int) -> tuple[int, str, str, str] | None:
+        """The end, kind, name and attributes of what "<" starts here; no kind for comments; None if it is text."""
+        source = self.source
+        for opening, closing in (("<!--", "-->"), ("<![CDATA[", "]]>")):
+            if source.startswith(opening, at) and (end := self.find(closing, at + 2 if opening == "<!--" else at)) >= 0:
+                return end + 3, "", "", ""
+        shut = self.find(">", at)
+        if shut < 0:
+            return None
+        kind = source[at + 1 : at + 2]
+        name = NAME.match(source, at + 2 if kind == "/" else at + 1)
+        if name:
+            end = self.tag_end(name.end())
+            return end + 1, "end" if kind == "/" else "start", name[0].lower(), source[name.end() : end]
+        return (shut + 1, "", "", "") if kind in "!?/" else None
+
+    def __iter__(self) -> Iterator[tuple[str, str, str]]:
+        text = self.at
+        while True:
+            less = self.find("<", self.at)
+            found = self.markup(less) if less >= 0 else None
+            if less >= 0 and found is None:
+                self.at = less + 1
+                continue
+            stop = less if less >= 0 else len(self.source)
+            if stop > text:
+                yield "text", "", self.source[text:stop]
+            if found is None:
+                return
+            self.at, kind, name, rest = found
+            if kind:
+                yield kind, name, rest  # the reader may skip() from here
+            text = self.at
+
+
 class Page:
     """A page's elements in document order: tags, attribute tokens, parents, and its text in pieces (element, text)."""
 
     def __init__(self, source: str):
         self.tag, self.tokens, self.parent, self.pieces, self.label = ["html"], [frozenset()], [-1], [], [None]
-        stack, at = [0], 0
+        stack, opened = [0], Counter({"html": 1})
+
+        def drop(i: int) -> None:
+            for e in stack[i:]:
+                opened[self.tag[e]] -= 1
+            del stack[i:]
 
         def close(names: set | frozenset, bounds: set | frozenset) -> None:
+            if not any(opened[x] for x in names):
+                return
             for i in range(len(stack) - 1, 0, -1):
                 if self.tag[stack[i]] in names:
-                    del stack[i:]
+                    drop(i)
                     return
                 if self.tag[stack[i]] in bounds:
                     return
 
-        n = len(source)
-        while at < n:
-            m = TAG.search(source, at)
-            start = m.start() if m else n
-            if start > at:
-                self.pieces.append((stack[-1], source[at:start]))
-            if not m:
-                break
-            at = m.end()
-            if not m[2]:
-                continue
-            name = m[2].lower()
-            if m[1]:
-                if name == "p" or name in self.open_names(stack):
+        scanner = Scanner(source)
+        for kind, name, rest in scanner:
+            if kind == "text":
+                self.pieces.append((stack[-1], rest))
+            elif kind == "end":
+                if opened[name]:
                     close({name}, frozenset() if name not in INLINE else CLOSES_P - {"p"})
-                continue
-            if name in CLOSES_P:
-                close({"p"}, {"button", "td", "th", "table"} | ({"article", "section", "div", "body"} if name != "p" else set()))
-            if name in IMPLIED:
-                close(*IMPLIED[name])
-            if name in ("html", "body") and len(stack) == 1 or name not in ("html", "body"):
+            else:
+                if name in CLOSES_P:
+                    close({"p"}, {"button", "td", "th", "table"} | ({"article", "section", "div", "body"} if name != "p" else set()))
+                if name in IMPLIED:
+                    close(*IMPLIED[name])
+                if name in ("html", "body") and len(stack) > 1:
+                    continue
                 self.tag.append(name)
-                values = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(m[3])} if m[3] else {}
+                values = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(rest)} if rest else {}
                 self.tokens.append(frozenset(t for k in ("class", "id", "role", "itemprop", "aria-label") if k in values for t in re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", values[k]).lower())))
                 self.label.append(values.get("data-y"))
                 self.parent.append(stack[-1])
-                if name in VOID or m[3].endswith("/"):
+                if name in VOID or rest.endswith("/") and any(opened[x] for x in FOREIGN):
                     if name in ("br", "hr", "img"):
                         self.pieces.append((stack[-1], " "))
-                elif name in RAW:
-                    end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(source, at)
-                    at = end.end() if end else n
-                else:
+                elif name not in RAW or not scanner.skip(name):
                     stack.append(len(self.tag) - 1)
-
-    def open_names(self, stack: list[int]) -> set[str]:
-        return {self.tag[i] for i in stack}
+                    opened[name] += 1
 
     def features(self) -> np.ndarray:
         n = len(self.tag)
@@ -162,15 +248,17 @@ class Page:
     def text(self, score: np.ndarray) -> str:
         main = self.decode(score)
         out, block, line = [], None, []
+        # the nearest element that isn't inline
+        of = list(range(len(self.tag)))
+        for i, tag in enumerate(self.tag):
+            if tag in INLINE and i:
+                of[i] = of[self.parent[i]]
         for i, text in self.pieces:
             if not main[i]:
                 continue
-            of = i
-            while self.tag[of] in INLINE and self.parent[of] >= 0:
-                of = self.parent[of]
-            if of != block:
+            if of[i] != block:
                 out.append("".join(line))
-                block, line = of, []
+                block, line = of[i], []
             line.append(text)
         out.append("".join(line))
         return " ".join(" ".join(html.unescape(b) for b in out).split())
@@ -213,6 +301,7 @@ class Layout:
 
     def __init__(self, seed: int):
         self.r = random.Random(seed)
+        self.other = random.Random(seed + 1)  # of what noscript says, so that it may change without the rest of the pages
         self.syllables = [a + b for a in "b d f g k l m n p r s t v ch st".split() for b in "a e i o u an er in on al".split()]
 
     def words(self, low: int, high: int) -> str:
@@ -220,6 +309,14 @@ class Layout:
         out = ["".join(r.choices(self.syllables, k=r.randint(1, 3))) + ("," if r.random() < 0.08 else "." if r.random() < 0.06 else "") for _ in range(r.randint(low, high))]
         return " ".join(out).capitalize() + "."
 
+    def said(self, low: int, high: int) -> str:
+        """words(), drawn from the other numbers."""
+        self.r, self.other = self.other, self.r
+        try:
+            return self.words(low, high)
+        finally:
+            self.r, self.other = self.other, self.r
+
     def el(self, tag: str, inside: str, y: int, tokens: str = "") -> str:
         if self.r.random() < 0.3:
             tokens = ""
@@ -269,6 +366,8 @@ class Layout:
             else:
                 parts.append(self.box(r.choice(("ad", "advert", "ads promo", "related", "newsletter signup", "share social")), r.choice(("div", "aside"))))
         tag = r.choice(("article", "article", "article", "main", "div", "div", "section", "td"))
+        if self.other.random() < 0.2:
+            parts.insert(self.other.randint(0, len(parts)), f'<noscript data-y="1"><p data-y="1">{self.said(5, 60)}</p></noscript>')
         body = "".join(parts)
         name = r.choice(("article", "content", "post", "entry-content", "story-body", "main-content", "")) if tag != "article" else ""
         main = f'<{tag} data-y="1"' + (f' class="{name}"' if name else "") + f">{body}</{tag}>"
@@ -296,6 +395,8 @@ class Layout:
             after.append(self.box(r.choice(("footer", "site-footer", "copyright", "legal")), r.choice(("footer", "footer", "div"))))
         if r.random() < 0.3:
             before, after = (before + after[:1], after[1:]) if r.random() < 0.3 else (before, after)
+        if self.other.random() < 0.4:
+            before.insert(self.other.randint(0, len(before)), f'<noscript data-y="0">{self.said(3, 25)}</noscript>')
         middle = f'<div data-y="1" class="{r.choice(("wrapper", "container", "page", ""))}">{main}</div>' if r.random() < 0.35 else main
         return f"<!DOCTYPE html><html><head><title>{self.words(2, 8)}</title><script>var a=1;</script></head><body>{''.join(before)}{middle}{''.join(after)}</body></html>"
 
