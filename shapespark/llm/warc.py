@@ -11,7 +11,12 @@ s3:// or gs://.
 Of records with equal payloads of at least `least` bytes, the one with the smallest page_id is written as a response and the others as
 revisits that refer to it.
 
-Defined cases: null html is an empty payload; a null url is left out of the headers; rows that share a page_id each get a record, and those
+Archives of others: a payload is what follows the HTTP head, with a chunked transfer undone; payload_bytes is its length in bytes (of a record
+that isn't read, and of one that the file cuts off, as declared; of a revisit, that of the payload it refers to, or null); a head without an
+empty line ends with its record; record ids stay in record_id and refers_to_id, and page_id is null if they aren't ours; digests other than
+SHA-1 aren't verified; a record without a length, or what doesn't start a record, is an error.
+
+Defined cases: null html is an empty payload; a very long payload is one record of its own length; a null url is left out of the headers; rows that share a page_id each get a record, and those
 that also share the payload of a response are responses; a null page_id refers to the smallest known one, or is a response if all of its
 group are null; an empty table gives no rows; other columns are ignored.
 """
@@ -23,6 +28,7 @@ import gzip
 import hashlib
 import io
 import posixpath
+import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -40,10 +46,13 @@ FILE_BYTES = 32 << 20
 VERSION = b"WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"
-READ = "page_id long, record_type string, target_uri string, refers_to long, payload_digest string, payload_bytes long, payload binary"
+READ = "page_id long, record_type string, target_uri string, refers_to long, payload_digest string, payload_bytes long, payload binary, record_id string, refers_to_id string"
 WRITE = "page_id long, target_uri string, payload binary, sha1 string, refers_to long"
 #: Columns on which predicates are pushed down.
-PUSHED = ("record_type", "target_uri", "payload_digest", "page_id", "refers_to")
+PUSHED = ("record_type", "target_uri", "payload_digest", "page_id", "refers_to", "record_id", "refers_to_id")
+#: The longest line of a head that is read; what follows is skipped.
+LINE = 1 << 16
+OWN_ID = re.compile(r"<urn:page:(-?[0-9]{1,18})>")
 
 
 def record(page_id: int | None, uri: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
@@ -116,23 +125,69 @@ class Files(InputPartition):
 
 
 def _number(urn: str | None) -> int | None:
-    return int(urn[len("<urn:page:") : -1]) if urn and urn.startswith("<urn:page:") else None
+    """The page_id in one of our own record ids; others have none."""
+    found = OWN_ID.fullmatch(urn or "")
+    return int(found[1]) if found else None
+
+
+def _line(source, most: int) -> bytes:
+    """The next line, of `most` bytes at most."""
+    return source.readline(min(most, LINE)) if most > 0 else b""
 
 
 def _headers(source) -> dict[str, str] | None:
     """The named fields of the next record, or None at the end."""
-    line = source.readline()
+    line = source.readline(LINE)
     while line in (b"\r\n", b"\n"):
-        line = source.readline()
+        line = source.readline(LINE)
     if not line:
         return None
     if not line.startswith(b"WARC/"):
         raise ValueError(f"not the start of a WARC record: {line[:40]!r}")
-    out = {}
-    while (line := source.readline()).strip():
-        name, _, value = line.decode("utf-8", "replace").partition(":")
-        out[name.strip().lower()] = value.strip()
-    return out
+    return _fields(source, 1 << 62)[0]
+
+
+def _fields(source, left: int) -> tuple[dict[str, str], int]:
+    """Named fields up to an empty line or the end of a block of `left` bytes, and what is left of it. Lines that start with a space go on."""
+    out: dict[str, str] = {}
+    name = ""
+    while line := _line(source, left):
+        left -= len(line)
+        while not line.endswith(b"\n") and (more := _line(source, left)):  # a longer line
+            left -= len(more)
+            if more.endswith(b"\n"):
+                break
+        if not line.strip():
+            break
+        text = line.decode("utf-8", "replace").rstrip("\r\n")
+        if text[0] in " \t" and name:
+            out[name] = f"{out[name]} {text.strip()}"
+            continue
+        name, _, value = text.partition(":")
+        name = name.strip().lower()
+        out[name] = value.strip()
+    return out, left
+
+
+def _length(value: str | None) -> int | None:
+    return int(value) if value and value.isascii() and value.isdigit() else None
+
+
+def unchunked(data: bytes) -> bytes:
+    """The body of a chunked transfer; as it is if it isn't one, up to where it breaks off."""
+    out, at = [], 0
+    while at < len(data):
+        end = data.find(b"\r\n", at, at + 1024)
+        size = data[at:end].partition(b";")[0].strip() if end >= 0 else b""
+        if not re.fullmatch(rb"[0-9A-Fa-f]{1,15}", size):
+            return b"".join(out) + data[at:] if out else data
+        n = int(size, 16)
+        if n == 0:
+            break
+        out.append(data[end + 2 : end + 2 + n])
+        at = end + 2 + n
+        at += 2 * (data[at : at + 2] == b"\r\n")
+    return b"".join(out)
 
 
 class WarcReader(DataSourceReader):
@@ -174,28 +229,43 @@ class WarcReader(DataSourceReader):
             with system.open_input_file(path) as raw:
                 source = gzip.open(raw) if path.endswith(".gz") else io.BufferedReader(raw, 1 << 18)
                 while (head := _headers(source)) is not None:
-                    left = int(head.get("content-length", 0))
+                    left = _length(head.get("content-length"))
+                    if left is None:
+                        raise ValueError(f"{path}: a record without a length")
+                    ids = head.get("warc-record-id"), head.get("warc-refers-to")
                     row = {
-                        "page_id": _number(head.get("warc-record-id")), "record_type": head.get("warc-type"), "target_uri": head.get("warc-target-uri"),
-                        "refers_to": _number(head.get("warc-refers-to")), "payload_digest": (head.get("warc-payload-digest") or "").removeprefix("sha1:") or None,
+                        "page_id": _number(ids[0]), "record_type": head.get("warc-type"), "target_uri": head.get("warc-target-uri"), "refers_to": _number(ids[1]),
+                        "payload_digest": (head.get("warc-payload-digest") or "").removeprefix("sha1:") or None, "record_id": ids[0], "refers_to_id": ids[1],
                     }
-                    if not self.wanted(row):
+                    if self.wanted(row):
+                        payload, length = self.body(source, head, left, f"{path}: {ids[0]}")
+                        yield row["page_id"], row["record_type"], row["target_uri"], row["refers_to"], row["payload_digest"], length, payload if self.payload else None, *ids
+                    else:
                         _skip(source, left)
-                        continue
-                    length, payload = left, None
-                    if head.get("content-type", "").startswith("application/http"):
-                        length = 0
-                        while (line := source.readline()).strip():
-                            left -= len(line)
-                            if line.lower().startswith(b"content-length:"):
-                                length = int(line.split(b":")[1])
-                        left -= len(line)
-                    if row["record_type"] != "revisit" and (self.payload or self.verify):
-                        payload, left = source.read(left), 0
-                        if self.verify and row["payload_digest"] != base64.b32encode(hashlib.sha1(payload).digest()).decode():
-                            raise ValueError(f"{path}: the payload of {row['page_id']} doesn't have its digest")
-                    _skip(source, left)
-                    yield row["page_id"], row["record_type"], row["target_uri"], row["refers_to"], row["payload_digest"], length, payload if self.payload else None
+
+    def body(self, source, head: dict[str, str], left: int, name: str) -> tuple[bytes | None, int | None]:
+        """The payload, if it is wanted, and its length, of a record whose block of `left` bytes comes next."""
+        http: dict[str, str] | None = None
+        if head.get("content-type", "").startswith("application/http"):
+            http, left = _fields(source, left)
+        if head.get("warc-type") == "revisit":  # the head of the response only; its own length is that of the payload referred to
+            _skip(source, left)
+            return None, _length(http.get("content-length")) if http else None
+        chunked = http is not None and http.get("transfer-encoding", "").lower() == "chunked"
+        if not (self.payload or self.verify or chunked):
+            _skip(source, left)
+            return None, left
+        data = source.read(left)
+        if self.verify:
+            digest, algorithm = head.get("warc-payload-digest", ""), "sha1:"
+            # writers differ in whether a payload is digested before or after its transfer encoding is undone
+            known = {base64.b32encode(hashlib.sha1(x).digest()).decode() for x in ((data, unchunked(data)) if chunked else (data,))}
+            if len(data) < left:
+                raise ValueError(f"{name}: the file ends inside the record")
+            if digest.startswith(algorithm) and digest.removeprefix(algorithm).upper() not in known:
+                raise ValueError(f"{name}: the payload doesn't have its digest")
+        data = unchunked(data) if chunked else data
+        return data, len(data)
 
 
 def _skip(source, n: int) -> None:
