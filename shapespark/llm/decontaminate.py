@@ -5,28 +5,35 @@ window that a document shares with a benchmark item leaves a fingerprint that bo
 benchmark; each hit compares the words around it on both sides and is extended to the longest common run that the window allows. Items of
 fewer than 13 words are one window each; every length that occurs has its own k and w, with k + w - 1 that length.
 
-The benchmark's fingerprints are broadcast in slices, each of at most SLICE_ROWS rows by count, so documents are never shuffled: a benchmark
-of any size is handled, in more passes. What is shuffled is one row for each document and pass, summed up before.
-
-Defined cases: a null or empty text has no words, and is neither hit nor hits; a null item_id is spelled as an empty string; items are told
-apart by item_id; documents that share a doc_id, or repeat wholly, each get a row; a null doc_id is kept; an empty benchmark hits nothing; an
-empty table gives no rows; other columns are ignored (in drop_contaminated: returned).
+Whatever the size of the benchmark, two passes are made over the documents. The first leaves a row for each document and for each fingerprint
+that the benchmark has too: numbers only, whatever a text's length. The second reads the words around hits, in documents that have any. The
+benchmark's hashes are broadcast if they are few by count; otherwise fingerprints are shuffled to meet them, salted, as rows of numbers. Lists
+of items that have the same words are kept once, and documents refer to them; so a preamble that all items share costs one list.
+
+Defined cases: a null or empty text has no words, and is neither hit nor hits; a very long text is read whole, and its words aren't copied for
+each of its fingerprints; of equal hashes in a window the leftmost counts; a null item_id is spelled as an empty string; items are told apart by
+item_id; documents that share a doc_id, or repeat wholly, each get a row; a null doc_id is kept; an empty benchmark hits nothing; an empty table
+gives no rows; other columns are ignored (in drop_contaminated: returned).
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import BROADCAST_BYTES, ascii_lower, fresh, let, materialise, row_keys, table
+from .shared import BROADCAST_BYTES, ascii_lower, fresh, join_sized, let, materialise, row_keys, table
 
 WINDOW = 13
 #: Between words: ASCII characters that are neither digits nor lower-case letters.
 GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The bits of a packed fingerprint that hold its position; the hash is above.
 PLACE_BITS = 30
-#: Rows of the benchmark's index, of some 500 bytes, that one broadcast may hold.
-SLICE_ROWS = 60_000
+#: Hashes of the benchmark that are broadcast at most, of some 40 bytes; and what a pair of row keys with a few numbers takes.
+SLICE_ROWS, KEY_BYTES = BROADCAST_BYTES // 40, 160
+#: Tasks that equal fingerprints are dealt to where the benchmark's hashes are too many to be broadcast.
+SALTS = 32
 PERCENT = 20
 
 
@@ -48,10 +55,13 @@ def winnowed(hashes: Column, length: int) -> Column:
     low = F.lit((1 << PLACE_BITS) - 1)
 
     def packed(i: Column) -> Column:
-        return F.xxhash64(F.lit(length), F.slice(hashes, i, k)).bitwiseAND(F.bitwise_not(low.cast("long"))).bitwiseOR(i.cast("long"))
+        return F.xxhash64(F.lit(length), *[F.element_at(hashes, i + n) for n in range(k)]).bitwiseAND(F.bitwise_not(low.cast("long"))).bitwiseOR(i.cast("long"))
+
+    def smallest(grams: Column) -> Column:
+        least = lambda i: F.least(*[F.element_at(grams, i + n) for n in range(w)]) if w > 1 else F.element_at(grams, i)
+        return F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(grams) - (w - 1)), least))
 
-    grams = F.transform(F.sequence(F.lit(1), F.size(hashes) - (k - 1)), packed)
-    least = let(grams, lambda g: F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(g) - (w - 1)), lambda i: F.array_min(F.slice(g, i, w)))))
+    least = let(F.transform(F.sequence(F.lit(1), F.size(hashes) - (k - 1)), packed), smallest)
     return F.when(F.size(hashes) >= length, least).otherwise(F.array().cast("array<long>"))
 
 
@@ -71,23 +81,35 @@ def _around(words: Column, place: Column, length: int | Column, k: int | Column)
     return F.reverse(F.slice(words, before, place - before)), F.slice(words, place, F.lit(k)), F.slice(words, place + F.lit(k), reach)
 
 
-def benchmark_index(items: DataFrame) -> DataFrame:
-    """Rows (length, mark, left, gram, right, items): the surroundings of each fingerprint of the benchmark and the items that have them."""
+def benchmark_index(items: DataFrame) -> tuple[DataFrame, DataFrame, list[int]]:
+    """Rows (mark, length, left, gram, right, items_id): the surroundings of each fingerprint of the benchmark and what items have them; rows
+    (items_id, items), each list of items once; and the lengths of windows that occur."""
     worded = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), words_of(F.col("text").cast("string")).alias("words")).filter(F.size("words") > 0)
     worded = materialise(worded.withColumn("length", F.least(F.size("words"), F.lit(WINDOW))), "benchmark")
     lengths = [r.length for r in worded.select("length").distinct().orderBy("length").collect()]  # 13 at most
-    rows = [
-        worded.filter(F.col("length") == n)
-        .select("item", "length", "words", F.explode(_winnowed_words(F.col("words"), n)).alias("packed"))
-        .select("item", "length", _mark(F.col("packed")).alias("mark"), F.struct(*[c.alias(x) for c, x in zip(_around(F.col("words"), _place(F.col("packed")), n, gram_length(n)), ("left", "gram", "right"), strict=True)]).alias("around"))
-        for n in lengths
-    ]
-    if not rows:
-        return worded.sparkSession.createDataFrame([], "length int, mark long, left array<string>, gram array<string>, right array<string>, items array<string>")
-    every = rows[0]
-    for r in rows[1:]:
-        every = every.unionByName(r)
-    return every.select("length", "mark", "around.*", "item").groupBy("length", "mark", "left", "gram", "right").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    spark = worded.sparkSession
+    every = spark.createDataFrame([], "length int, mark long, left array<string>, gram array<string>, right array<string>, item string")
+    for n in lengths:
+        posted = worded.filter(F.col("length") == n).select("item", "length", F.explode(let(F.col("words"), _all_surrounded(n))).alias("x"))
+        every = every.unionByName(posted.select("length", "x.mark", "x.left", "x.gram", "x.right", "item"))
+    listed = every.groupBy("length", "mark", "left", "gram", "right").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    listed = materialise(listed.withColumn("items_id", F.sha1(F.array_join(F.transform("items", lambda i: F.concat(F.char_length(i).cast("string"), F.lit(":"), i)), ""))), "benchmark-index")
+    return listed.drop("items"), listed.groupBy("items_id").agg(F.first("items").alias("items")), lengths
+
+
+def _all_surrounded(length: int) -> Callable[[Column], Column]:
+    return lambda words: F.transform(_winnowed_words(words, length), _surrounded(words, length))
+
+
+def _surrounded(words: Column, length: int) -> Callable[[Column], Column]:
+    """A fingerprint with its mark, its place, and the words around it."""
+    k = gram_length(length)
+
+    def of(packed: Column) -> Column:
+        left, gram, right = _around(words, _place(packed), length, k)
+        return F.struct(F.lit(length).alias("length"), _mark(packed).alias("mark"), _place(packed).alias("place"), left.alias("left"), gram.alias("gram"), right.alias("right"))
+
+    return of
 
 
 def _winnowed_words(words: Column, length: int) -> Column:
@@ -100,34 +122,57 @@ def _common(a: Column, b: Column) -> Column:
     return F.when(differs == 0, F.size(a)).otherwise(differs.cast("int") - 1)
 
 
-def _hits(worded: DataFrame, index: DataFrame, lengths: list[int], first: bool) -> DataFrame:
-    """One row for each document: rows that were alike (n), n_words, hit runs and items. Documents' words stay where they are read; a row with
-    a null mark stands for the document itself."""
-
-    def marks(h: Column) -> Column:
-        lists = [F.transform(winnowed(h, n), _tagged(n)) for n in lengths]
-        return F.concat(F.array(F.struct(F.lit(None).cast("int").alias("length"), F.lit(None).cast("long").alias("packed"))), *lists)
-
-    posted = worded.withColumn("post", F.explode(let(F.transform("words", lambda w: F.xxhash64(w)), marks)))
-    posted = posted.select("doc_id", "a", "b", "words", F.col("post.length").alias("d_length"), F.col("post.packed").alias("packed"), _mark(F.col("post.packed")).alias("d_mark"))
-    met = posted.join(F.broadcast(index), (F.col("d_length") == F.col("length")) & (F.col("d_mark") == F.col("mark")), "left").filter(F.col("mark").isNotNull() | F.col("packed").isNull())
+def _met(docs: DataFrame, index: DataFrame, lengths: list[int], slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """Rows (doc_id, a, b, n_words, length, packed): one with a null `packed` for each row of docs, and one for each of its fingerprints whose
+    hash the benchmark has. a and b are the row's keys."""
+    a, b = row_keys(docs)
+    worded = docs.select("doc_id", a.alias("a"), b.alias("b"), words_of(F.col("text").cast("string")).alias("words"))
+    itself = F.struct(F.lit(None).cast("int").alias("length"), F.lit(None).cast("long").alias("packed"))
+    marks = lambda h: F.concat(F.array(itself), *[F.transform(winnowed(h, n), _tagged(n)) for n in lengths])
+    posted = worded.select("doc_id", "a", "b", F.size("words").cast("long").alias("n_words"), F.explode(let(F.transform("words", lambda w: F.xxhash64(w)), marks)).alias("post"))
+    # a document's own row has no mark; its key stands in, so that such rows don't meet
+    posted = posted.select("doc_id", "a", "b", "n_words", "post.*", F.coalesce(_mark(F.col("post.packed")), F.col("a")).alias("mark"))
+    known = materialise(index.select("mark").distinct().withColumn("known", F.lit(True)), "benchmark-marks")
+    if known.count() <= slice_rows:
+        joined = posted.join(F.broadcast(known), "mark", "left")
+    else:
+        dealt = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = posted.withColumn("salt", F.pmod(F.xxhash64("a", "packed"), F.lit(SALTS)).cast("int")).join(dealt, ["mark", "salt"], "left")
+    return materialise(joined.filter(F.col("packed").isNull() | F.col("known")).select("doc_id", "a", "b", "n_words", "length", "packed"), "fingerprints")
+
+
+def _verified(docs: DataFrame, met: DataFrame, index: DataFrame, lengths: list[int]) -> DataFrame:
+    """Rows (a, b, n_words, n_hit, lists) of documents (by their keys) with real hits; lists are the ids of their hits' lists of items."""
+    hits = materialise(met.filter("packed is not null").groupBy("a", "b").agg(F.max("n_words").alias("n_words"), F.collect_set(F.struct("length", "packed")).alias("hits")), "hits")
+    size = hits.agg(F.sum(F.size("hits") * 24 + F.lit(KEY_BYTES))).first()[0] or 0
+    a, b = row_keys(docs)
+    texts = join_sized(docs.select(a.alias("a"), b.alias("b"), F.col("text").cast("string").alias("text")), hits, ["a", "b"], "inner", size)
+    of_length = lambda n: lambda h: h["length"] == n
+    around = lambda w: F.flatten(F.array(*[F.transform(F.transform(F.filter("hits", of_length(n)), lambda h: h["packed"]), _surrounded(w, n)) for n in lengths]))
+    found = texts.select("a", "b", "n_words", F.explode(let(words_of(F.col("text")), around)).alias("d"))
+    found = found.select("a", "b", "n_words", F.col("d.length").alias("length"), F.col("d.mark").alias("mark"), "d.place", *[F.col(f"d.{c}").alias(f"d_{c}") for c in ("left", "gram", "right")])
+    size = index.agg(F.sum(F.char_length(F.concat_ws(" ", "left", "gram", "right")) + F.lit(24 * 2 * WINDOW + KEY_BYTES))).first()[0] or 0
+    found = join_sized(found, index, ["mark", "length"], "inner", size)
     k = F.expr("case length " + " ".join(f"when {n} then {gram_length(n)}" for n in range(1, WINDOW + 1)) + " end")
-    place = _place(F.col("packed"))
-    reach = F.col("length") - k
-    before = F.greatest(F.lit(1), place - reach)
-    met = met.select(
-        "doc_id", "a", "b", F.size("words").alias("n_words"), "packed", "length", "items", "gram", "left", "right", place.alias("place"), k.alias("k"),
-        F.when(F.col("mark").isNotNull(), F.reverse(F.slice("words", before, place - before))).alias("d_left"),
-        F.when(F.col("mark").isNotNull(), F.slice("words", place, k)).alias("d_gram"),
-        F.when(F.col("mark").isNotNull(), F.slice("words", place + k, reach)).alias("d_right"),
-    )
-    met = met.withColumns({"back": _common(F.col("left"), F.col("d_left")), "ahead": _common(F.col("right"), F.col("d_right"))})
-    real = (F.col("gram") == F.col("d_gram")) & (F.col("back") + F.col("k") + F.col("ahead") >= F.col("length"))
+    found = found.withColumns({"k": k, "back": _common(F.col("left"), F.col("d_left")), "ahead": _common(F.col("right"), F.col("d_right"))})
+    real = found.filter((F.col("gram") == F.col("d_gram")) & (F.col("back") + F.col("k") + F.col("ahead") >= F.col("length")))
     run = F.struct((F.col("place") - F.col("back")).alias("start"), (F.col("place") + F.col("k") + F.col("ahead")).alias("end"))
-    return met.groupBy("doc_id", "a", "b").agg(
-        F.sum(F.when(F.col("packed").isNull(), 1 if first else 0).otherwise(0)).alias("n"), F.max("n_words").alias("n_words"),
-        F.collect_set(F.when(real, run)).alias("runs"), F.collect_set(F.when(real, F.col("items"))).alias("items"),
-    )
+    summed = real.groupBy("a", "b").agg(F.max("n_words").alias("n_words"), F.collect_set(run).alias("runs"), F.array_sort(F.collect_set("items_id")).alias("lists"))
+    return materialise(summed.select("a", "b", "n_words", _covered(F.col("runs")).alias("n_hit"), "lists"), "contaminated")
+
+
+def _named(found: DataFrame, lists: DataFrame) -> DataFrame:
+    """Rows (a, b, n_hit, n_items, items_sha256). Items are united once for each set of lists that occurs, not for each document."""
+    keyed = found.withColumn("lists_id", F.sha1(F.array_join("lists", ",")))
+    sets = materialise(keyed.groupBy("lists_id").agg(F.first("lists").alias("lists")), "item-lists")
+    items = sets.select("lists_id", F.explode("lists").alias("items_id")).join(lists, "items_id").select("lists_id", F.explode("items").alias("item"))
+    united = items.groupBy("lists_id").agg(F.array_sort(F.collect_set("item")).alias("items")).select("lists_id", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"))
+    united = materialise(united, "item-sets")
+    return join_sized(keyed.drop("lists"), united, ["lists_id"], "inner", united.count() * KEY_BYTES).select("a", "b", "n_hit", "n_items", "items_sha256")
+
+
+def _is_contaminated() -> Column:
+    return (F.col("n_hit") > 0) & (PERCENT * F.col("n_hit") >= F.col("n_words"))
 
 
 def _tagged(length: int):
@@ -141,39 +186,26 @@ def _covered(runs: Column) -> Column:
 
 
 def contamination(docs: DataFrame, items: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated of each row of docs; items has item_id and text."""
-    return _judged(docs.select("doc_id", "text"), items, slice_rows).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", F.explode(F.array_repeat(F.lit(0), F.col("n").cast("int")))).drop("col")
-
-
-def _judged(docs: DataFrame, items: DataFrame, slice_rows: int) -> DataFrame:
-    """contamination() with one row for all rows of docs that are alike: n of them, with keys a and b."""
-    a, b = row_keys(docs)
-    worded = docs.select(F.col("doc_id"), a.alias("a"), b.alias("b"), words_of(F.col("text").cast("string")).alias("words"))
-    index = materialise(benchmark_index(items), "benchmark-index")
-    slices = max(1, -(-index.count() // slice_rows))
-    lengths = [r.length for r in index.select("length").distinct().orderBy("length").collect()]
-    passes = [_hits(worded, index.filter(F.pmod("mark", F.lit(slices)) == s), lengths, s == 0) for s in range(slices)]
-    found = passes[0]
-    for p in passes[1:]:
-        found = found.unionByName(p)
-    if slices > 1:
-        found = found.groupBy("doc_id", "a", "b").agg(F.sum("n").alias("n"), F.max("n_words").alias("n_words"), F.flatten(F.collect_list("runs")).alias("runs"), F.flatten(F.collect_list("items")).alias("items"))
-    items_hit = F.array_sort(F.array_distinct(F.flatten("items")))
-    found = found.select("doc_id", "a", "b", "n", F.col("n_words").cast("long").alias("n_words"), _covered(F.col("runs")).alias("n_hit"), items_hit.alias("hit_items"))
-    return found.select(
-        "doc_id", "a", "b", "n", "n_words", "n_hit", F.size("hit_items").cast("long").alias("n_items"), F.sha2(F.array_join("hit_items", ","), 256).alias("items_sha256"),
-        ((F.col("n_hit") > 0) & (PERCENT * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
-    )
+    """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated of each row of docs; items has item_id and text. Hashes of the benchmark
+    are broadcast if there are no more than slice_rows; if there are, fingerprints are shuffled to them."""
+    docs = docs.select("doc_id", "text")
+    index, lists, lengths = benchmark_index(items)
+    met = _met(docs, index, lengths, slice_rows)
+    named = materialise(_named(_verified(docs, met, index, lengths), lists), "judged")
+    whole = join_sized(met.filter("packed is null"), named, ["a", "b"], "left", named.count() * KEY_BYTES)
+    whole = whole.select("doc_id", "n_words", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("n_hit", "n_items")], F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"))
+    return whole.withColumn("contaminated", _is_contaminated())
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """docs without the contaminated ones. Their keys are broadcast if they are few by count; else both sides are shuffled by the keys."""
+    """docs without the contaminated ones, whose keys come to them as join_sized() says."""
+    narrow = docs.select("doc_id", "text")
+    index, _, lengths = benchmark_index(items)
+    found = _verified(narrow, _met(narrow, index, lengths), index, lengths)
     a, b = (fresh(docs, x) for x in ("key_a", "key_b"))
-    judged = _judged(docs.select("doc_id", "text"), items, SLICE_ROWS)
-    bad = materialise(judged.filter("contaminated").select(F.col("a").alias(a), F.col("b").alias(b)), "contaminated")
-    few = bad.count() * 32 <= BROADCAST_BYTES
-    keyed = docs.withColumns(dict(zip((a, b), row_keys(docs.select("doc_id", "text")), strict=True)))
-    return keyed.join(F.broadcast(bad) if few else bad, [a, b], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    bad = materialise(found.filter(_is_contaminated()).select(F.col("a").alias(a), F.col("b").alias(b)), "contaminated-keys")
+    keyed = docs.withColumns(dict(zip((a, b), row_keys(narrow), strict=True)))
+    return join_sized(keyed, bad, [a, b], "left_anti", bad.count() * KEY_BYTES).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

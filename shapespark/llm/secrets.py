@@ -24,7 +24,7 @@ from re import _parser
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import BROADCAST_BYTES, fresh, let, materialise, row_keys, running, table
+from .shared import fresh, join_sized, let, materialise, row_keys, running, table
 
 
 @dataclass(frozen=True)
@@ -65,8 +65,8 @@ RULES = BASE + MORE
 BLOCK_TEXTS = 16_384
 #: Code points of one block of a text that is cut into parts.
 TEXT_BLOCK = 1024
-#: What a candidate's key takes in a broadcast table, about; and the tasks that equal rows are dealt to where candidates are too many for one.
-CANDIDATE_BYTES, SALTS = 48, 64
+#: What a candidate's key takes in a broadcast table, about.
+CANDIDATE_BYTES = 48
 
 # A query is True (any text), a trigram, or ("and" | "or", frozenset of queries).
 Query = bool | str | tuple
@@ -212,15 +212,11 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -
     """docs and the array column `found` of (start, number of the rule, end), sorted. Only rows that share a key with a candidate are matched
     against rules that have a trigram query. Candidates' keys are broadcast if they are few by count, so texts stay where they are read; beyond
     that rows meet them by key and salt."""
-    key, bits, found, salt = (fresh(docs, x) for x in ("key", "bits", "found", "salt"))
+    key, bits, found = (fresh(docs, x) for x in ("key", "bits", "found"))
     whole = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     keyed = docs.withColumn(key, row_keys(docs)[0])
     hits = materialise(candidates(build_index(keyed.select(F.col(key).alias("key"), whole.alias("text")), rules), rules).select(F.col("key").alias(key), F.col("bits").alias(bits)), "candidates")
-    if hits.count() * CANDIDATE_BYTES <= BROADCAST_BYTES:
-        joined = keyed.join(F.broadcast(hits), key, "left")
-    else:  # equal rows have one key: they are dealt out by where they are read
-        dealt = hits.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = keyed.withColumn(salt, F.pmod(F.spark_partition_id(), F.lit(SALTS))).join(dealt, [key, salt], "left").drop(salt)
+    joined = join_sized(keyed, hits, [key], "left", hits.count() * CANDIDATE_BYTES)
     may = lambda n, r: F.lit(True) if trigram_query(r.pattern) is True else F.coalesce(F.col(bits), F.lit(0)).bitwiseAND(F.lit(1 << n)) != 0
     spans = F.concat(*[F.when(may(n, r), _spans(whole, n, r)).otherwise(F.array().cast(EMPTY)) for n, r in enumerate(rules)])
     return joined.withColumn(found, F.array_sort(spans)).drop(key, bits)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..storage import BROADCAST_BYTES, materialise, scratch_dir, scratch_path
 
-__all__ = ["BATCH_BYTES", "BATCH_ROWS", "BROADCAST_BYTES", "ascii_lower", "bounded_batches", "components", "fresh", "join_counted", "let", "materialise", "row_keys", "running", "scratch_dir", "scratch_path", "table"]
+__all__ = ["BATCH_BYTES", "BATCH_ROWS", "BROADCAST_BYTES", "ascii_lower", "bounded_batches", "components", "fresh", "join_counted", "join_sized", "let", "materialise", "row_keys", "running", "scratch_dir", "scratch_path", "table"]
 
 #: Rows and bytes of one Arrow batch handed to a Python kernel, whichever is reached first (a single row may be larger).
 BATCH_ROWS, BATCH_BYTES = 500, 32 << 20
@@ -41,6 +41,20 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+#: Tasks that equal keys are dealt to where a side is too large to be broadcast.
+SALTS = 64
+
+
+def join_sized(left: DataFrame, right: DataFrame, keys: list[str], how: str, size: int) -> DataFrame:
+    """Join (inner, left, left_semi or left_anti) with a written table of `size` bytes, which is broadcast if they are few. Otherwise both sides
+    are shuffled by keys and salt: rows of left that share keys are dealt out by where they are read, and right is sent to all of them."""
+    if size <= BROADCAST_BYTES:
+        return left.join(F.broadcast(right), keys, how)
+    salt = fresh(left, "salt")
+    dealt = right.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return left.withColumn(salt, F.pmod(F.spark_partition_id(), F.lit(SALTS))).join(dealt, [*keys, salt], how).drop(salt)
+
+
 #: Numbers of one block of running(): a block's results are copied for each number in it, so that the whole takes linear time.
 RUN_BLOCK = 256
 
