@@ -123,15 +123,16 @@ def _common(a: Column, b: Column) -> Column:
 
 
 def _met(docs: DataFrame, index: DataFrame, lengths: list[int], slice_rows: int = SLICE_ROWS) -> DataFrame:
-    """Rows (doc_id, a, b, n_words, length, packed): one with a null `packed` for each row of docs, and one for each of its fingerprints whose
+    """Rows (doc_id, a, b, n_words, length, packed): one with a null `packed` and n_words for each row of docs, and one for each of its fingerprints whose
     hash the benchmark has. a and b are the row's keys."""
     a, b = row_keys(docs)
     worded = docs.select("doc_id", a.alias("a"), b.alias("b"), words_of(F.col("text").cast("string")).alias("words"))
-    itself = F.struct(F.lit(None).cast("int").alias("length"), F.lit(None).cast("long").alias("packed"))
-    marks = lambda h: F.concat(F.array(itself), *[F.transform(winnowed(h, n), _tagged(n)) for n in lengths])
-    posted = worded.select("doc_id", "a", "b", F.size("words").cast("long").alias("n_words"), F.explode(let(F.transform("words", lambda w: F.xxhash64(w)), marks)).alias("post"))
+    # nothing but columns of numbers goes along with what is exploded: an expression on the words would be taken after it, and the words copied
+    itself = lambda h: F.struct(F.lit(None).cast("int").alias("length"), F.lit(None).cast("long").alias("packed"), F.size(h).cast("long").alias("n_words"))
+    marks = lambda h: F.concat(F.array(itself(h)), *[F.transform(winnowed(h, n), _tagged(n)) for n in lengths])
+    posted = worded.select("doc_id", "a", "b", F.explode(let(F.transform("words", lambda w: F.xxhash64(w)), marks)).alias("post"))
     # a document's own row has no mark; its key stands in, so that such rows don't meet
-    posted = posted.select("doc_id", "a", "b", "n_words", "post.*", F.coalesce(_mark(F.col("post.packed")), F.col("a")).alias("mark"))
+    posted = posted.select("doc_id", "a", "b", "post.*", F.coalesce(_mark(F.col("post.packed")), F.col("a")).alias("mark"))
     known = materialise(index.select("mark").distinct().withColumn("known", F.lit(True)), "benchmark-marks")
     if known.count() <= slice_rows:
         joined = posted.join(F.broadcast(known), "mark", "left")
@@ -142,23 +143,23 @@ def _met(docs: DataFrame, index: DataFrame, lengths: list[int], slice_rows: int
 
 
 def _verified(docs: DataFrame, met: DataFrame, index: DataFrame, lengths: list[int]) -> DataFrame:
-    """Rows (a, b, n_words, n_hit, lists) of documents (by their keys) with real hits; lists are the ids of their hits' lists of items."""
-    hits = materialise(met.filter("packed is not null").groupBy("a", "b").agg(F.max("n_words").alias("n_words"), F.collect_set(F.struct("length", "packed")).alias("hits")), "hits")
+    """Rows (a, b, n_hit, lists) of documents (by their keys) with real hits; lists are the ids of their hits' lists of items."""
+    hits = materialise(met.filter("packed is not null").groupBy("a", "b").agg(F.collect_set(F.struct("length", "packed")).alias("hits")), "hits")
     size = hits.agg(F.sum(F.size("hits") * 24 + F.lit(KEY_BYTES))).first()[0] or 0
     a, b = row_keys(docs)
     texts = join_sized(docs.select(a.alias("a"), b.alias("b"), F.col("text").cast("string").alias("text")), hits, ["a", "b"], "inner", size)
     of_length = lambda n: lambda h: h["length"] == n
     around = lambda w: F.flatten(F.array(*[F.transform(F.transform(F.filter("hits", of_length(n)), lambda h: h["packed"]), _surrounded(w, n)) for n in lengths]))
-    found = texts.select("a", "b", "n_words", F.explode(let(words_of(F.col("text")), around)).alias("d"))
-    found = found.select("a", "b", "n_words", F.col("d.length").alias("length"), F.col("d.mark").alias("mark"), "d.place", *[F.col(f"d.{c}").alias(f"d_{c}") for c in ("left", "gram", "right")])
+    found = texts.select("a", "b", F.explode(let(words_of(F.col("text")), around)).alias("d"))
+    found = found.select("a", "b", F.col("d.length").alias("length"), F.col("d.mark").alias("mark"), "d.place", *[F.col(f"d.{c}").alias(f"d_{c}") for c in ("left", "gram", "right")])
     size = index.agg(F.sum(F.char_length(F.concat_ws(" ", "left", "gram", "right")) + F.lit(24 * 2 * WINDOW + KEY_BYTES))).first()[0] or 0
     found = join_sized(found, index, ["mark", "length"], "inner", size)
     k = F.expr("case length " + " ".join(f"when {n} then {gram_length(n)}" for n in range(1, WINDOW + 1)) + " end")
     found = found.withColumns({"k": k, "back": _common(F.col("left"), F.col("d_left")), "ahead": _common(F.col("right"), F.col("d_right"))})
     real = found.filter((F.col("gram") == F.col("d_gram")) & (F.col("back") + F.col("k") + F.col("ahead") >= F.col("length")))
     run = F.struct((F.col("place") - F.col("back")).alias("start"), (F.col("place") + F.col("k") + F.col("ahead")).alias("end"))
-    summed = real.groupBy("a", "b").agg(F.max("n_words").alias("n_words"), F.collect_set(run).alias("runs"), F.array_sort(F.collect_set("items_id")).alias("lists"))
-    return materialise(summed.select("a", "b", "n_words", _covered(F.col("runs")).alias("n_hit"), "lists"), "contaminated")
+    summed = real.groupBy("a", "b").agg(F.collect_set(run).alias("runs"), F.array_sort(F.collect_set("items_id")).alias("lists"))
+    return materialise(summed.select("a", "b", _covered(F.col("runs")).alias("n_hit"), "lists"), "contaminated")
 
 
 def _named(found: DataFrame, lists: DataFrame) -> DataFrame:
@@ -176,7 +177,7 @@ def _is_contaminated() -> Column:
 
 
 def _tagged(length: int):
-    return lambda p: F.struct(F.lit(length).alias("length"), p.alias("packed"))
+    return lambda p: F.struct(F.lit(length).alias("length"), p.alias("packed"), F.lit(None).cast("long").alias("n_words"))
 
 
 def _covered(runs: Column) -> Column:
@@ -201,9 +202,11 @@ def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """docs without the contaminated ones, whose keys come to them as join_sized() says."""
     narrow = docs.select("doc_id", "text")
     index, _, lengths = benchmark_index(items)
-    found = _verified(narrow, _met(narrow, index, lengths), index, lengths)
+    met = _met(narrow, index, lengths)
+    found = _verified(narrow, met, index, lengths)
+    judged = join_sized(met.filter("packed is null"), found.drop("lists"), ["a", "b"], "inner", found.count() * KEY_BYTES)
     a, b = (fresh(docs, x) for x in ("key_a", "key_b"))
-    bad = materialise(found.filter(_is_contaminated()).select(F.col("a").alias(a), F.col("b").alias(b)), "contaminated-keys")
+    bad = materialise(judged.filter(_is_contaminated()).select(F.col("a").alias(a), F.col("b").alias(b)).distinct(), "contaminated-keys")
     keyed = docs.withColumns(dict(zip((a, b), row_keys(narrow), strict=True)))
     return join_sized(keyed, bad, [a, b], "left_anti", bad.count() * KEY_BYTES).select(*[F.col(f"`{c}`") for c in docs.columns])
 

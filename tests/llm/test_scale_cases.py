@@ -14,7 +14,9 @@ pytest.importorskip("xxhash")
 
 from pyspark.sql import functions as F  # noqa: E402
 
-from shapespark.llm import secrets, shared, simhash  # noqa: E402
+from shapespark.llm import decontaminate, secrets, shared, simhash  # noqa: E402
+
+from . import brute  # noqa: E402
 
 
 def test_row_keys_tell_moved_nulls_apart(spark):
@@ -127,3 +129,32 @@ def test_keep_one_tells_rows_apart(spark, tmp_path, monkeypatch):
             assert kept.columns == docs.columns
             found = sorted(map(tuple, kept.collect()), key=repr)
             assert [r[:3] for r in found] == sorted([(1, None, "x"), (1, "x", None), (2, text, "en"), (None, text + " and more than that, much more", "en")], key=repr)
+
+
+def test_contamination_of_long_and_repeated_texts(spark, monkeypatch):
+    """Long documents, a preamble that all items share and equal rows, with tables broadcast and shuffled."""
+    r = random.Random(3)
+    words = [f"w{r.randint(0, 3000)}" for _ in range(60_000)]
+    preamble = " ".join(words[:40])
+    items = [(i, f"{preamble} {' '.join(words[200 * i : 200 * i + 30])}") for i in range(60)] + [(None, "w1 w2"), (7, ""), (8, None)]
+    texts = [" ".join(words), " ".join(words[:35]), preamble, None, "", "w1 w2 w1 w2", *[f"{preamble} once more"] * 40]
+    want = sorted(((i, *f) for i, f in enumerate(brute.contamination(texts, items))), key=repr)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    keep = [t for t, w in zip(texts, sorted(want, key=lambda x: x[0]), strict=True) if not w[5]]
+    for size in (shared.BROADCAST_BYTES, -1):
+        monkeypatch.setattr(shared, "BROADCAST_BYTES", size)
+        got = decontaminate.contamination(docs, bench, 10**6 if size > 0 else 0)
+        assert sorted(map(tuple, got.collect()), key=repr) == want
+        assert sorted((x.text for x in decontaminate.drop_contaminated(docs, bench).collect()), key=repr) == sorted(keep, key=repr)
+
+
+def test_contamination_takes_linear_time(spark):
+    """Words aren't copied for each fingerprint of a text."""
+    took = []
+    for n in (1_000, 100_000, 800_000):
+        docs = spark.createDataFrame([(1, " ".join(f"w{i * 7919 % 10007}" for i in range(n)))], "doc_id long, text string")
+        began = time.time()
+        assert decontaminate.contamination(docs, spark.createDataFrame([(1, "w1 w2 w3")], "item_id long, text string")).first().n_words == n
+        took.append(time.time() - began)
+    assert took[2] < 24 * max(took[1], 1)
