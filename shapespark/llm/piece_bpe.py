@@ -1,19 +1,22 @@
 """SentencePiece byte-pair encoding and decoding by vectorised merge rounds.
 
 The distinct words of a batch are laid out as one flat numpy array of symbols. Each round finds the best pair of every word (a segmented
-minimum of pair ranks), merges all its leftmost occurrences in all words at once, and compacts the arrays, until no pair remains. Where a
-merged piece could form a better or equal pair with a neighbour, only the leftmost occurrence of the word is merged in that round, so that
-the order is that of a queue by (score, position). Words still unfinished after MAX_ROUNDS rounds, such as very long strings without a
-space, are finished one by one with such a queue.
+minimum of pair ranks), merges its leftmost occurrences in all words at once, and compacts the arrays, until no pair remains.
 
-Defined cases: a null text is an empty one, and an empty one has the begin and end ids alone; rows that share a doc_id each get a row; an
-empty table gives no rows; other columns are ignored.
+The order must be that of a queue by (score, position). A merged piece may form a pair with a neighbour that comes before the word's further
+occurrences of the best pair. What follows from such a merge stays within the pieces that contain it, so occurrences that are farther apart
+than two longest pieces don't see each other. Of those that are closer (a cluster), the leftmost are merged, up to and with the first that
+really forms a pair as good; the others wait for the rounds that its consequences take. Long words are cut beforehand between characters that
+no piece has side by side, as no merge can cross that place.
+
+Defined cases: a null text is an empty one, and an empty one has the begin and end ids alone; a very long text, or word, is encoded whole; of
+pairs with equal scores the leftmost is merged; rows that share a doc_id, or repeat wholly, each get a row; an empty table gives no rows; other
+columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
-import heapq
 import re
 import struct
 from collections.abc import Iterator
@@ -29,7 +32,6 @@ from .shared import bounded_batches, table
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 NONE = np.iinfo(np.int32).max
-MAX_ROUNDS = 48
 #: Distinct words whose ids a worker remembers, at most, and the longest of them; then it starts over.
 REMEMBERED, LONGEST = 300_000, 64
 _models: dict = {}
@@ -94,11 +96,16 @@ class PieceModel:
                         self.unsafe[half] |= rank[i] <= rank[half]
         self._hash_pairs(*(np.array(x, dtype=np.int64) for x in zip(*table, strict=True)))
         self._char_ids()
+        longest = max(map(len, self.id))
+        #: Symbols between two merges that can't see each other.
+        self.apart = 2 * longest + 2
+        self.bridges = np.unique(np.array([(ord(a) << 21) | ord(b) for t in self.id for a, b in zip(t, t[1:], strict=False)], dtype=np.int64))
         self.joins_spaces = any(re.search(f"[^{SPACE}]{SPACE}", t) for t in self.id)
         unk = trainer.get(44, b" \xe2\x81\x87 ")
         kinds = {NORMAL: lambda t: t.replace(SPACE, " ").encode(), UNKNOWN: lambda t: unk, CONTROL: lambda t: b"", BYTE: lambda t: bytes([int(t[1:-1], 16)])}
         self.surface = [kinds[k](t) for k, t in zip(self.kind.tolist(), self.text, strict=True)]
         self.known: dict[str, bytes] = {}
+        self.grown: dict[int, tuple[int, list[int]]] = {}
 
     def _hash_pairs(self, keys: np.ndarray, ranks: np.ndarray, made: np.ndarray) -> None:
         """An open-addressing table of pairs; `probes` steps find any key."""
@@ -170,7 +177,6 @@ class PieceModel:
             rank[inner], made[inner] = self.pairs(sym[inner], sym[inner + 1])
 
         look(np.arange(len(sym)))
-        rounds = 0
         while len(sym):
             starts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
             best = np.minimum.reduceat(rank, starts)
@@ -183,27 +189,25 @@ class PieceModel:
                 best, sizes = best[best != NONE], sizes[best != NONE]
                 if not len(sym):
                     break
-            if rounds == MAX_ROUNDS:
-                break
-            rounds += 1
             at = np.flatnonzero(rank == np.repeat(best, sizes))
-            first = np.r_[True, word[at[1:]] != word[at[:-1]]]
-            at = at[first | ~self.unsafe[made[at]]]
-            # of adjacent occurrences (aaa) the leftmost, then every second one
+            # of overlapping occurrences (aaa) the leftmost, then every second one
             place = np.arange(len(at))
-            run = np.maximum.accumulate(np.where(np.r_[True, np.diff(at) != 1], place, 0))
+            run = np.maximum.accumulate(np.where(np.r_[True, (np.diff(at) != 1) | (word[at[1:]] != word[at[:-1]])], place, 0))
             at = at[(place - run) % 2 == 0]
+            at = at[self._in_turn(at, sym, word, rank, made)]
+            gone = self._grow_runs(at, sym, word, rank, made)
             sym[at] = made[at]
             stay = np.ones(len(sym), dtype=bool)
             stay[at + 1] = False
+            if len(gone):
+                at = np.union1d(at, gone[:, 0])
+                for head, piece, length in gone.tolist():
+                    sym[head] = piece
+                    stay[head + 1 : head + length] = False
             sym, word, rank, made = (x[stay] for x in (sym, word, rank, made))
-            at = at - np.arange(len(at))
+            at = (np.cumsum(stay) - 1)[at]
             look(at)
             look(at - 1)
-        for s in np.split(np.arange(len(sym)), np.flatnonzero(np.diff(word)) + 1) if len(sym) else []:
-            ids = self.queue(sym[s].tolist())
-            done_sym.append(np.array(ids, dtype=np.int64))
-            done_word.append(np.full(len(ids), word[s[0]]))
         if not done_sym:
             return [b""] * len(words)
         word = np.concatenate(done_word)
@@ -212,28 +216,74 @@ class PieceModel:
         ends = 4 * np.cumsum(np.bincount(word, minlength=len(words)))
         return [data[s:e] for s, e in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
 
-    def queue(self, sym: list[int]) -> list[int]:
-        """Finish one word with a queue of pairs by rank and position."""
-        n = len(sym)
-        after, before = [*range(1, n), -1], list(range(-1, n - 1))
-        ranks, made = self.pairs(np.array(sym[:-1], dtype=np.int64), np.array(sym[1:], dtype=np.int64))
-        heap = [(r, i, sym[i], sym[i + 1], m) for i, (r, m) in enumerate(zip(ranks.tolist(), made.tolist(), strict=True)) if r != NONE]
-        heapq.heapify(heap)
-        while heap:
-            _, i, a, b, new = heapq.heappop(heap)
-            j = after[i]
-            if sym[i] != a or j < 0 or sym[j] != b:
+    def _in_turn(self, at: np.ndarray, sym: np.ndarray, word: np.ndarray, rank: np.ndarray, made: np.ndarray) -> np.ndarray:
+        """Which occurrences of their words' best pairs, none of which overlap, are merged in this round."""
+        risky = self.unsafe[made[at]]
+        if not risky.any():
+            return np.ones(len(at), dtype=bool)
+        piece, own = made[at], word[at]
+        heads = np.r_[True, (own[1:] != own[:-1]) | (np.diff(at) >= self.apart)]
+        follows = np.r_[False, (np.diff(at) == 2) & ~heads[1:]]
+
+        def better(inside: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+            out = np.zeros(len(at), dtype=bool)
+            i = np.flatnonzero(inside)
+            out[i] = self.pairs(left[i], right[i])[0] <= rank[at[i]]
+            return out
+
+        before, behind = np.maximum(at - 1, 0), np.minimum(at + 2, len(sym) - 1)
+        # where the occurrence before it touches it, that one's piece is the neighbour by then
+        left = np.where(follows, np.r_[piece[:1], piece[:-1]], sym[before])
+        loud = risky & (better((at > 0) & (word[before] == own), left, piece) | better((at + 2 < len(sym)) & (word[behind] == own), piece, sym[behind]))
+        # none that is louder may come before it in its cluster
+        earlier = np.cumsum(loud) - loud
+        return ~risky | (earlier == np.maximum.accumulate(np.where(heads, earlier, 0)))
+
+    def _growth(self, symbol: int) -> tuple[int, list[int]]:
+        """How many symbols of a long run of one symbol turn into one piece, again and again, while its pairs are the best; and all pieces that
+        come up, that one last. 0 if pieces that are made don't stay apart."""
+        if symbol not in self.grown:
+            one = lambda a, b: tuple(int(x[0]) for x in self.pairs(np.array([a]), np.array([b])))
+            best, _ = one(symbol, symbol)
+            run, size, seen = [symbol] * 3 * self.apart, [1] * 3 * self.apart, {symbol}
+            while True:
+                found = [one(a, b) for a, b in zip(run, run[1:], strict=False)]
+                rank, i = min(((r, i) for i, (r, _) in enumerate(found)), default=(NONE, 0))
+                if rank > best:
+                    break
+                run[i : i + 2], size[i : i + 2] = [found[i][1]], [size[i] + size[i + 1]]
+                seen.add(run[i])
+            last = run[0]
+            apart = len(run) > 2 and run[1] == last and size[0] > 2 and min(one(last, x)[0] for x in seen) > best
+            self.grown[symbol] = (size[0], [*(seen - {last}), last]) if apart else (0, [])
+        return self.grown[symbol]
+
+    def _grow_runs(self, at: np.ndarray, sym: np.ndarray, word: np.ndarray, rank: np.ndarray, made: np.ndarray) -> np.ndarray:
+        """Rows (place, piece, symbols): for the first pair of a long run of one symbol (such as spaces), the pieces that the run turns into one
+        after another, but for its end. They don't see each other, so they are made at once."""
+        out: list[tuple] = []
+        most = self.apart
+        i = at[(at + 2 * most < len(sym)) & self.unsafe[made[at]]]
+        i = i[(sym[i] == sym[i + 1]) & (sym[i] == sym[np.minimum(i + 2 * most, len(sym) - 1)])]
+        for head in i.tolist():
+            length, pieces = self._growth(int(sym[head]))
+            if not length:
                 continue
-            sym[i], sym[j], after[i] = new, -1, after[j]
-            if after[j] >= 0:
-                before[after[j]] = i
-            for left in (before[i], i):
-                right = after[left] if left >= 0 else -1
-                if right >= 0:
-                    rank, piece = self.pairs(np.array([sym[left]]), np.array([sym[right]]))
-                    if rank[0] != NONE:
-                        heapq.heappush(heap, (int(rank[0]), left, sym[left], sym[right], int(piece[0])))
-        return [s for s in sym if s >= 0]
+            same = (sym[head:] == sym[head]) & (word[head:] == word[head])
+            run = len(same) if same.all() else int(same.argmin())
+            before = head > 0 and word[head - 1] == word[head]
+            if before and self.pairs(np.full(len(pieces), sym[head - 1]), np.array(pieces))[0].min() <= rank[head]:
+                continue
+            out += [(head + length * k, pieces[-1], length) for k in range(run // length - 1)]
+        return np.array(out, dtype=np.int64).reshape(-1, 3)
+
+    def _cut(self, word: str) -> list[str]:
+        """A long word's parts between characters that no piece has side by side."""
+        codes = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        pair = (codes[:-1] << 21) | codes[1:]
+        found = np.searchsorted(self.bridges, pair)
+        cuts = np.flatnonzero(self.bridges[np.minimum(found, len(self.bridges) - 1)] != pair) + 1
+        return [word[a:b] for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(word)], strict=True)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, with the begin and end ids."""
@@ -247,6 +297,7 @@ class PieceModel:
                 split.append(re.findall(f"{SPACE}*[^{SPACE}]+|{SPACE}+", SPACE + text.replace(" ", SPACE)))
             else:
                 split.append((SPACE + text.replace(" ", " " + SPACE)).split(" "))
+        split = [words if max(map(len, words), default=0) <= LONGEST else [p for w in words for p in (self._cut(w) if len(w) > LONGEST else (w,))] for words in split]
         distinct = set(chain.from_iterable(split))
         if len(self.known) + len(distinct) > REMEMBERED:
             self.known.clear()
