@@ -3,13 +3,14 @@
 Words are read by a weighted acceptor whose arcs (whole words and stems) are learned from labelled texts: an arc weighs the log ratio of its
 rates in toxic and in other texts. The resulting symbols of each clause run through a composition of transducers: one marks insults and
 threats in the scope of a negation, one those after reported speech, one those aimed at somebody, and one drops threats that are aimed at
-nobody. What comes out are matches with their marks and weights; their sums by mark, not those of isolated words alone, are the features of a
-logistic model fitted to the same texts.
+nobody. Each mark has a weight that multiplies that of its match (MARK_WEIGHTS). A clause scores the sum of its weighted matches, and the
+features of a text, from which a logistic model fitted to the same texts makes the score, are taken from the scores of its clauses alone.
 
 The lexicon and the model are fitted to TRAINING_ROWS labelled rows at most, in the order of a hash of doc_id, of which no row has a
 crc32(doc_id) that leaves 2 modulo 4. Their number doesn't grow with the corpus; every text is scored whole.
 
-Defined cases: a null or empty text has no matches and gets the model's score for that; a null doc_id is scored and not held out; rows that
+Defined cases: a null or empty text has no matches and gets the model's score for that; a very long text is read whole, clause by clause; of a
+word's arcs the heaviest counts, and arcs of one weight are ranked by name; a null doc_id is scored and not held out; rows that
 share a doc_id each get a row; labels without a toxic value or a text aren't used; without any labels of both classes nothing is learned, and
 scores rest on the seed lexicon; an empty table gives no rows; other columns are ignored.
 """
@@ -42,6 +43,9 @@ OTHER, TARGET, NEGATION, REPORT = range(4)
 #: Insults and threats take 8 symbols each: bit 0 negated, bit 1 reported, bit 2 aimed.
 INSULT, THREAT, SYMBOLS = 4, 12, 20
 NEGATED, REPORTED, AIMED = 1, 2, 4
+#: What a mark makes of a match's weight: denied and reported insults count less, those aimed at somebody more.
+MARK_WEIGHTS = {NEGATED: 0.3, REPORTED: 0.5, AIMED: 1.5}
+FACTORS = [math.prod(w for m, w in MARK_WEIGHTS.items() if marks & m) for marks in range(8)]
 # fixed values: function words of English, German, French and Spanish
 WORDS = {
     TARGET: "you your yours u he she they them him her people everyone du dich dir ihr euch sie tu toi vous te vos lui ils elles usted ustedes tú ti vosotros",
@@ -111,7 +115,14 @@ def arcs(word: str) -> Iterator[str]:
         yield word[:n]
 
 
-FEATURES = 14
+FEATURES = 9
+#: A clause that scores more is a strong one.
+STRONG = 3.0
+
+
+def clause_score(matches: list[tuple[int, float]]) -> float:
+    """The sum of a clause's matches, each weighed by its marks."""
+    return sum(weight * FACTORS[symbol - (INSULT if symbol < THREAT else THREAT)] for symbol, weight in matches)
 
 
 @dataclass
@@ -131,39 +142,42 @@ class Model:
             self.memory[word] = found
         return found
 
-    def matches(self, text: str) -> tuple[list[tuple[int, float]], int, int]:
-        """Matches (symbol, weight) of all clauses, the number of words, and that of clauses with a match."""
+    def clauses(self, text: str) -> tuple[list[list[tuple[int, float]]], int]:
+        """The matches (symbol, weight) of each clause that has any, and the number of words."""
         tokens = TOKEN.findall(text.lower())
         read = list(map(self.symbol, tokens))
         words = len(tokens) - sum(map(tokens.count, BREAKS))
-        hits = [i for i, (s, _) in enumerate(read) if s >= INSULT]
-        out, clauses, done = [], 0, -1
-        for i in hits:
+        out, done = [], -1
+        for i in (i for i, (s, _) in enumerate(read) if s >= INSULT):
             if i <= done:
                 continue
             start = i
             while start > done + 1 and tokens[start - 1] not in BREAKS:
                 start -= 1
-            state, at, before = 0, start, len(out)
+            state, at, found = 0, start, []
             while at < len(tokens) and tokens[at] not in BREAKS:
                 symbol, weight = read[at]
                 state, symbol = GRAMMAR[state][symbol]
                 if symbol >= INSULT:
-                    out.append((symbol, weight))
+                    found.append((symbol, weight))
                 at += 1
             done = at
-            clauses += len(out) > before
-        return out, words, clauses
+            if found:
+                out.append(found)
+        return out, words
+
+    def matches(self, text: str) -> tuple[list[tuple[int, float]], int, int]:
+        """Matches (symbol, weight) of all clauses, the number of words, and that of clauses with a match."""
+        found, words = self.clauses(text)
+        return [m for c in found for m in c], words, len(found)
 
     def features(self, text: str) -> list[float]:
-        found, words, clauses = self.matches(text)
-        total = sum(w for _, w in found)
-        by = lambda mark: sum(w for s, w in found if (s - (INSULT if s < THREAT else THREAT)) & mark)
-        threats = sum(w for s, w in found if s >= THREAT)
-        strong = sum(w > 3 for _, w in found)
+        found, words = self.clauses(text)
+        scores = [clause_score(c) for c in found]
+        total, strong = sum(scores), [s for s in scores if s > STRONG]
         return [
-            math.log1p(total), 10 * total / (words + 20), max((w for _, w in found), default=0.0), math.log1p(len(found)), math.log1p(words), 10 * strong / (words + 20), math.log1p(strong),
-            math.log1p(by(NEGATED)), math.log1p(by(REPORTED)), math.log1p(by(AIMED)), math.log1p(threats), math.log1p(clauses), float(not words), 1.0,
+            math.log1p(total), 10 * total / (words + 20), max(scores, default=0.0), math.log1p(len(scores)), math.log1p(words), 10 * len(strong) / (words + 20), math.log1p(len(strong)),
+            float(not words), 1.0,
         ]
 
     def scores(self, texts: list[str]) -> np.ndarray:
@@ -188,11 +202,15 @@ def held_out() -> Column:
 
 
 def training_texts(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> DataFrame:
-    """Rows (text, toxic): labelled texts that aren't held out, `rows` at most. That bound makes the labels small enough to broadcast."""
+    """Rows (text, toxic): labelled texts that aren't held out, `rows` at most. That bound makes the labels small enough to broadcast. Of the
+    labels for one doc_id each counts once; of texts that share it, that of the smallest hash."""
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).filter(~held_out())
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(rows)
+    chosen = materialise(chosen, "toxic-labels")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
-    return texts.join(F.broadcast(chosen), "doc_id").select("text", "toxic")
+    # a doc_id that repeats brings in one text, that of the smallest hash, so the bound holds after the join too
+    one = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t"))
+    return one.select("t.text", "toxic")
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
