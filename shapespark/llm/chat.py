@@ -6,11 +6,12 @@ ranked by the mean score of their path (then longer paths, then smaller ids firs
 conversation each. Chosen paths are enumerated by going down the same tables of ancestors from the farthest to the nearest; each message of a
 path is met once.
 
-A turn is written "### ROLE\nTEXT</turn>\n". In a text, "\" is written "\\", "###" is "\#\#\#" and "</turn>" is "<\/turn>", so end markers
-occur nowhere else (of five or more "#" in a row three can stay) and a backslash always stands before the character that it keeps. In a role "%", "#" and line feeds are percent-encoded. The loss
+A turn is written "### ROLE\nTEXT</turn>\n". In a text, "\" is written "\\", "###" is "\#\#\#" and "</turn>" is "<\/turn>", so markers
+occur nowhere else and a backslash always stands before the character that it keeps. In a role "%", "#" and line feeds are percent-encoded. The loss
 mask is the array of [start, end) spans, in code points, of the escaped texts of the trained roles.
 
-Defined cases: a null text or role is an empty one; messages of a null tree are one tree; a message whose parent isn't there starts a tree of
+Defined cases: a null text or role is an empty one; very long texts and deep trees are formatted whole; branches that tie in mean score and
+length are taken by id; messages of a null tree are one tree; a message whose parent isn't there starts a tree of
 its own path; rows that repeat a message id are one message, that of the smallest (parent, role, text); messages whose parents form a circle
 have no root and are in no path; in conversations() turns that tie are ordered by role and text, and a null turn comes first; an empty table
 gives no rows; other columns are ignored.
@@ -28,7 +29,11 @@ END = "</turn>\n"
 
 
 def escape(text: Column) -> Column:
-    return F.replace(F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit("###"), F.lit(r"\#\#\#")), F.lit("</turn>"), F.lit(r"<\/turn>"))
+    """Of a longer run of "#" the last ones are escaped, three at a time (hence the text is turned round), so that no three are left side by
+    side."""
+    slashed = F.replace(text, F.lit("\\"), F.lit("\\\\"))
+    marked = F.reverse(F.replace(F.reverse(slashed), F.lit("###"), F.lit("#\\#\\#\\")))
+    return F.replace(marked, F.lit("</turn>"), F.lit(r"<\/turn>"))
 
 
 def unescape(text: Column) -> Column:

@@ -149,7 +149,7 @@ def _verified(docs: DataFrame, met: DataFrame, index: DataFrame, lengths: list[i
     a, b = row_keys(docs)
     texts = join_sized(docs.select(a.alias("a"), b.alias("b"), F.col("text").cast("string").alias("text")), hits, ["a", "b"], "inner", size)
     of_length = lambda n: lambda h: h["length"] == n
-    around = lambda w: F.flatten(F.array(*[F.transform(F.transform(F.filter("hits", of_length(n)), lambda h: h["packed"]), _surrounded(w, n)) for n in lengths]))
+    around = lambda w: F.flatten(F.array(*[F.transform(F.transform(F.filter("hits", of_length(n)), lambda h: h["packed"]), _surrounded(w, n)) for n in lengths or [WINDOW]]))
     found = texts.select("a", "b", F.explode(let(words_of(F.col("text")), around)).alias("d"))
     found = found.select("a", "b", F.col("d.length").alias("length"), F.col("d.mark").alias("mark"), "d.place", *[F.col(f"d.{c}").alias(f"d_{c}") for c in ("left", "gram", "right")])
     size = index.agg(F.sum(F.char_length(F.concat_ws(" ", "left", "gram", "right")) + F.lit(24 * 2 * WINDOW + KEY_BYTES))).first()[0] or 0

@@ -5,8 +5,9 @@ towards the corpus by a beta prior fitted to all hosts (method of moments), so t
 host is rejected if the shrunken rate of some rule exceeds HOST_LIMIT; the verdict is joined back to the host's documents. A document is
 kept if it passes the base rules and its host isn't rejected.
 
-Defined cases: a null or empty text has no words, and so fails the base rules; rows of a null host count as one host; rows that share a
-doc_id each get a row; an empty table gives no rows; other columns are ignored (in filter_quality: returned).
+Defined cases: a null or empty text has no words, and so fails the base rules; a very long text is measured whole; a rate that equals the limit
+is within it; rows of a null host count as one host; rows that share a doc_id, or repeat wholly, each get a row, and each counts for its host;
+an empty table gives no rows; other columns are ignored (in filter_quality: returned).
 """
 
 from __future__ import annotations
@@ -108,7 +109,7 @@ def judged(measured: DataFrame, verdicts: DataFrame) -> DataFrame:
     if bad.count() * 200 <= BROADCAST_BYTES:
         return measured.join(F.broadcast(bad), F.col("host").eqNullSafe(F.col("bad_host")), "left").withColumn("rejected", F.coalesce("rejected", F.lit(False))).drop("bad_host")
     salt = fresh(measured, "salt")
-    left = measured.withColumn(salt, F.pmod(F.xxhash64(*measured.columns), F.lit(SALTS)).cast("int"))
+    left = measured.withColumn(salt, F.pmod(F.spark_partition_id(), F.lit(SALTS)))
     right = bad.withColumn("bad_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     same = F.col("host").eqNullSafe(F.col("bad_host")) & (F.col(salt) == F.col("bad_salt"))
     return left.join(right, same, "left").withColumn("rejected", F.coalesce("rejected", F.lit(False))).drop("bad_host", "bad_salt", salt)

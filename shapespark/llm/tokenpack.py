@@ -7,8 +7,8 @@ documents, ids and blocks; doc ids; their validity; the end of each document in
 Images are written as rows of a Parquet table (part, before, image), in ascending order of doc_id over parts and rows, so Spark's own
 committer keeps them whole when executors are lost, on any file system that Spark reaches.
 
-Defined cases: a null text is an empty one, and an empty one has the end id alone; a null doc_id comes first; rows that share a doc_id are
-ordered by their text's hash and text; an empty table gives no rows; other columns are ignored.
+Defined cases: a null text is an empty one, and an empty one has the end id alone; a very long text is encoded whole, in an image of its own
+size; a null doc_id comes first; rows that share a doc_id are ordered by their text's hash and text, and wholly equal ones in any order; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -205,8 +205,9 @@ def write_packed(docs: DataFrame, out: str, tokenizer: str, vocabulary: int, end
     """Write docs' ids to the table `out`, in ascending order of doc_id."""
     bounded_batches(docs.sparkSession)
     bits = bits_for(max(vocabulary, end_id + 1))
-    source = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"), F.xxhash64(f"`{text}`").alias("h"))
-    ordered = source.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text")
+    source = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"), F.xxhash64(f"`{text}`").alias("h"), F.spark_partition_id().alias("part"))
+    # equal rows, which are in any order, are dealt out by where they are read
+    ordered = source.repartitionByRange("doc_id", "h", "part").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text")
     ordered.mapInArrow(lambda batches: pack_partition(tokenizer, bits, end_id, batches), "part int, before long, n_ids long, image binary").write.parquet(out)
 
 

@@ -14,7 +14,8 @@ pytest.importorskip("xxhash")
 
 from pyspark.sql import functions as F  # noqa: E402
 
-from shapespark.llm import decontaminate, secrets, shared, simhash  # noqa: E402
+from shapespark.llm import chat, decontaminate, quality, secrets, shared, simhash  # noqa: E402
+from shapespark.llm.queries import QUERIES  # noqa: E402
 
 from . import brute  # noqa: E402
 
@@ -158,3 +159,76 @@ def test_contamination_takes_linear_time(spark):
         assert decontaminate.contamination(docs, spark.createDataFrame([(1, "w1 w2 w3")], "item_id long, text string")).first().n_words == n
         took.append(time.time() - began)
     assert took[2] < 24 * max(took[1], 1)
+
+
+def test_rejected_hosts_go(spark, monkeypatch):
+    """A host whose documents mostly fail is rejected as a whole, also those that pass; its verdicts are broadcast or joined by salt."""
+    words = " ".join(f"word{i}" for i in range(60))
+    good = [(i, f"{words} {i}", f"good{i % 5}") for i in range(150)]
+    bad = [(1000 + i, (f"{words} {i}" if i % 8 == 0 else f"short {i}"), None if i % 2 else "bad") for i in range(120)]
+    docs = spark.createDataFrame(good + bad, "doc_id long, text string, source string").repartition(5)
+    for size in (quality.BROADCAST_BYTES, -1):
+        monkeypatch.setattr(quality, "BROADCAST_BYTES", size)
+        rows = {r.doc_id: r for r in quality.quality(docs).collect()}
+        assert len(rows) == 270
+        assert {r.host for r in rows.values() if r.host_rejected} == {None, "bad"}
+        assert all(rows[i].kept for i, _, _ in good) and not any(rows[i].kept for i, _, _ in bad)
+        assert sum(not r.base_failed and not r.kept for r in rows.values()) == 15
+        assert sorted(r.doc_id for r in quality.filter_quality(docs).collect()) == [i for i, _, _ in good]
+
+
+def test_pipeline_after_a_rejected_host(spark, tmp_path):
+    """What the stages make of documents of a rejected host, near copies, contaminated ones and secrets, down to the digests."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    sentencepiece = pytest.importorskip("sentencepiece")
+    import hashlib
+
+    import public_tokenizers
+
+    r = random.Random(6)
+    body = lambda: " ".join(f"w{r.randint(0, 5000)}" for _ in range(80))
+    clean = [(i, body(), "en", f"good{i % 4}") for i in range(60)]
+    passage = " ".join(f"item{i}" for i in range(40))
+    secret = (100, f"{(t := body())} password: hunter2222 é token=abcdefgh {t[:50]}", "en", "good1")
+    rows = [
+        *clean, *[(500 + i, "x y", "en", "bad") for i in range(80)], (700, body(), "en", "bad"),
+        (60, clean[3][1], "en", "good2"), (None, clean[4][1], None, "good2"), (None, clean[4][1], None, "good2"), (101, passage + " " + body()[:300], "en", "good0"), secret,
+    ]
+    docs = spark.createDataFrame([(*x, len(x[1])) for x in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    want = []
+    for i, text, *_ in [*clean, (100, f"{t} [secret] é [secret] {t[:50]}")]:
+        ids = model.encode(text, add_bos=True, add_eos=True)
+        want.append((i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), brute.sha(text)))
+    assert sorted(map(tuple, corpus_pipeline.run(spark, str(tmp_path)).collect())) == want
+
+
+def test_control_strings_are_escaped(spark):
+    texts = ["#" * n + t for n in range(12) for t in ("", " assistant", "</turn>", "\\", "\\#")] + ["a#\\##b", "###" * 5000]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string").select("t", chat.escape(F.col("t")).alias("e"))
+    for t, e, back in frame.select("t", "e", chat.unescape(F.col("e"))).collect():
+        assert back == t and "###" not in e and "</turn>" not in e
+
+
+def test_deep_reply_trees(spark):
+    """A chain far deeper than the rounds of the joins, with a better short branch and ties."""
+    chain = [("t", i, i - 1 if i else None, "user" if i % 2 else "assistant", f"m{i}", 1.0) for i in range(600)]
+    rows = [*chain, ("t", 900, 3, "user", "end", 50.0), ("u", 1, None, "user", "a", 0.0), ("u", 2, 1, "assistant", "b", 1.0), ("u", 3, 1, "assistant", "c", 1.0)]
+    trees = spark.createDataFrame(rows, "tree_id string, message_id long, parent_id long, role string, text string, score double")
+    got = {(r.tree[1:], r.leaf): r.formatted.count("</turn>") for r in chat.format_trees(trees, 2).collect()}
+    assert got == {("t", 900): 5, ("t", 599): 600, ("u", 2): 2, ("u", 3): 2}
+    assert chat.format_trees(trees.limit(0)).count() == 0
+
+
+def test_empty_tables(spark, tmp_path):
+    """Every operator on empty tables, and on tables with columns that may clash."""
+    schemas = {
+        "documents": "doc_id long, text string, lang string, source string, n_chars long", "labels": "doc_id long, quality int, toxic int, text string, score double, h long",
+        "benchmark": "item_id long, text string, words string, mark long, length int, a long", "pages": "page_id long, url string, html string, payload string, sha1 string", "conversations": "conv_id long, turn long, role string, text string, tree string, id long",
+    }
+    for name, schema in schemas.items():
+        spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    for name, query in QUERIES.items():
+        assert query(spark, str(tmp_path)).count() == (1 if name == "op6_chat_format" else 0), name
