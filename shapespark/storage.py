@@ -15,16 +15,30 @@ BROADCAST_BYTES = 24 << 20
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a temporary folder where that is unset."""
+    """A folder of this application in spark.checkpoint.dir, which goes when the application ends. Where that is unset, a temporary folder on one
+    machine (as in tests); on a cluster each executor would write to a disk of its own, so there it is an error."""
     context = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not found:  # one machine, as in tests
+    if not found:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         own = tempfile.mkdtemp(prefix="shapespark-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         found = "file://" + own
     if not context.getCheckpointDir():
         context.setCheckpointDir(found)
-    return found.rstrip("/")
+    folder = f"{found.rstrip('/')}/shapespark-{context.applicationId}"
+    if folder not in _marked:
+        path = context._jvm.org.apache.hadoop.fs.Path(folder)
+        system = path.getFileSystem(context._jsc.hadoopConfiguration())
+        system.mkdirs(path)
+        system.deleteOnExit(path)
+        _marked.add(folder)
+    return folder
+
+
+#: Folders that are deleted when the application ends.
+_marked: set[str] = set()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
