@@ -64,13 +64,18 @@ def gw(x: Space, y: Space, start: np.ndarray | None = None, max_steps: int = MAX
 
 
 def gw_batch(a: np.ndarray, b: np.ndarray, max_steps: int = MAX_STEPS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distances, plans and ends of descend_batch()."""
+    return descend_batch(a, b, max_steps)[:3]
+
+
+def descend_batch(a: np.ndarray, b: np.ndarray, max_steps: int = MAX_STEPS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """gw() of many pairs of spaces of n points with equal masses at once: (batch, n, n) twice. Plans are permutations; returns distances,
-    the column of each row, and whether the descent ended by itself."""
+    the column of each row, whether the descent ended by itself, and its steps."""
     batch, n, _ = a.shape
     base = (a * a).mean(axis=(1, 2)) + (b * b).mean(axis=(1, 2))
     linear = -2.0 * a.mean(axis=2)[:, :, None] * b.mean(axis=2)[:, None, :]
     cost, best = base.copy(), np.tile(np.arange(n), (batch, 1))
-    active, duals, ended = np.arange(batch), None, np.zeros(batch, dtype=bool)
+    active, duals, ended, steps = np.arange(batch), None, np.zeros(batch, dtype=bool), np.zeros(batch, dtype=np.int64)
     for _ in range(max_steps):
         chosen, duals = assign(linear, duals)
         # -2 A P B for a permutation: columns of A in the order of B's rows
@@ -80,15 +85,21 @@ def gw_batch(a: np.ndarray, b: np.ndarray, max_steps: int = MAX_STEPS) -> tuple[
         falls = value < cost[active] - 1e-12 * base[active]
         ended[active[~falls]] = True
         cost[active[falls]], best[active[falls]] = value[falls], chosen[falls]
+        steps[active[falls]] += 1
         active, linear, duals = active[falls], after[falls], duals[falls]
         if not len(active):
             break
-    return np.sqrt(np.maximum(cost, 0.0)) / 2, best, ended
+    return np.sqrt(np.maximum(cost, 0.0)) / 2, best, ended, steps
 
 
 def slb(x: Space, y: Space) -> float:
     """A lower bound of the distance: the L2 distance of the quantile functions of all distances, halved."""
-    return 0.5 * np.sqrt(max(transport.step_l2(*quantile_function(x), *quantile_function(y)), 0.0))
+    return slb_of(quantile_function(x), quantile_function(y))
+
+
+def slb_of(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> float:
+    """slb() from quantile functions."""
+    return 0.5 * float(np.sqrt(max(transport.step_l2(*x, *y), 0.0)))
 
 
 def quantile_function(x: Space) -> tuple[np.ndarray, np.ndarray]:

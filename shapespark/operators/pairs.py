@@ -114,8 +114,8 @@ def gw_kernel(a: pd.DataFrame, b: pd.DataFrame | None, plans: bool = False) -> p
     for n, group in same.items():
         for at in range(0, len(group), BATCH):
             part = group[at : at + BATCH]
-            dist, perm, ended = gromov.gw_batch(np.stack([x.d for *_, x, _ in part]), np.stack([y.d for *_, y in part]))
-            out += [(i, j, float(d), bool(e), 0, np.arange(n), p, np.full(n, 1.0 / n)) for (i, j, *_), d, p, e in zip(part, dist, perm, ended, strict=True)]
+            dist, perm, ended, steps = gromov.descend_batch(np.stack([x.d for *_, x, _ in part]), np.stack([y.d for *_, y in part]))
+            out += [(i, j, float(d), bool(e), int(s), np.arange(n), p, np.full(n, 1.0 / n)) for (i, j, *_), d, p, e, s in zip(part, dist, perm, ended, steps, strict=True)]
     rows = []
     for i, j, d, e, steps, p, q, mass in out:
         first, second = sorted((a.id[i], other.id[j]))
@@ -152,13 +152,37 @@ def slb_pairwise(spaces: DataFrame, group: str | None = None) -> DataFrame:
     return by_blocks(spaces, kernel, "first string, second string, slb double", group=group)
 
 
+#: Spaces of one block where a pair costs little.
+WIDE_BLOCK = 256
+
+
 def slb_uniform(icdm: DataFrame, group: str | None = None) -> DataFrame:
-    """Lower bounds of all pairs (of one group) of spaces of one size with equal masses, as array expressions: the diagonal's share is the same for
-    all and cancels, and the k-th smallest distances face each other."""
-    ranked = icdm.withColumn("d", F.array_sort("d"))
-    gaps = F.aggregate(F.zip_with("a_d", "b_d", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v)
-    met = pair_rows(ranked, ["n", "d"], "cell_id", group).filter("a_n = b_n")
-    return met.select("first", "second", (0.5 * F.sqrt(2.0 * gaps / (F.col("a_n") * F.col("a_n")))).alias("slb"))
+    """Lower bounds of all pairs (of one group) of spaces with equal masses. Between spaces of one size the diagonal's share is the same and
+    cancels, and the k-th smallest distances face each other; other pairs take the quantile functions."""
+    ranked = icdm.select(F.col("cell_id").alias("id"), "n", F.array_sort("d").alias("d"), *([group] if group else []))
+
+    def kernel(a: pd.DataFrame, b: pd.DataFrame | None) -> pd.DataFrame:
+        other = a if b is None else b
+        names, sizes = other.id.to_numpy(), other.n.to_numpy()
+        stacked = {n: np.stack(other.d[sizes == n].to_list()) for n in set(sizes.tolist())}
+        out = []
+        for i, (name, n, d) in enumerate(zip(a.id, a.n, a.d, strict=True)):
+            slb = np.empty(len(names))
+            for m, rows in stacked.items():
+                if m == n:
+                    slb[sizes == m] = 0.5 * np.sqrt(2.0 * ((rows - d) ** 2).sum(axis=1) / (n * n))
+                else:
+                    slb[sizes == m] = [gromov.slb_of(_even_steps(d, n), _even_steps(r, m)) for r in rows]
+            left = slice(i + 1, None) if b is None else slice(None)
+            out.append(pd.DataFrame({"first": np.minimum(names[left], name), "second": np.maximum(names[left], name), "slb": slb[left]}))
+        return pd.concat(out) if out else pd.DataFrame(columns=["first", "second", "slb"])
+
+    return by_blocks(ranked, kernel, "first string, second string, slb double", block=WIDE_BLOCK, group=group)
+
+
+def _even_steps(d: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The quantile function of sorted distances between n points of equal mass: the diagonal's zero first."""
+    return np.r_[0.0, d], np.r_[1.0 / n, np.full(len(d), 2.0 / (n * n))]
 
 
 def quantile_steps(spaces: DataFrame) -> DataFrame:
@@ -272,11 +296,14 @@ def kind_penalties(soma_dendrite: float, basal_apical: float, more: dict[tuple[i
 
 
 def sampled_pairs(spaces: DataFrame, most: int) -> DataFrame:
-    """Every k-th pair in the order of names, so that about `most` are left; all, if there are fewer."""
-    pairs = pair_index(spaces)
-    step = max(1, pairs.count() // most)
-    # by the hash of the pair rather than by its rank: no task holds all pairs
-    return pairs.filter(F.pmod(F.xxhash64("first", "second"), F.lit(step)) == 0)
+    """`most` different pairs, drawn among the 2 * most spaces whose ids hash lowest; all pairs, if there are no more. Only those ids come to the
+    driver."""
+    ids = sorted(r.id for r in spaces.select("id").orderBy(F.xxhash64("id"), "id").limit(2 * most).collect())
+    n = len(ids)
+    ranks = range(n * (n - 1) // 2)
+    drawn = ranks if len(ranks) <= most else np.random.default_rng(0).choice(len(ranks), most, replace=False)
+    first, second = np.triu_indices(n, 1)
+    return spaces.sparkSession.createDataFrame([(ids[first[k]], ids[second[k]]) for k in map(int, drawn)], "first string, second string")
 
 
 def penalty_scale(spaces: DataFrame, penalties: dict, most: int = 100, quantile: float = 0.15) -> float | None:

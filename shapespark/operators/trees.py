@@ -128,7 +128,9 @@ def edge_lengths(nodes: DataFrame) -> DataFrame:
 
 
 def total_length(nodes: DataFrame) -> DataFrame:
-    return edge_lengths(nodes).groupBy("cell_id").agg(F.sum("edge").alias("total_length"))
+    """(cell_id, total_length); a cell of one node has 0."""
+    edges = edge_lengths(nodes).groupBy("cell_id").agg(F.sum("edge").alias("total_length"))
+    return nodes.select("cell_id").distinct().join(edges, "cell_id", "left").select("cell_id", F.coalesce("total_length", F.lit(0.0)).alias("total_length"))
 
 
 def filter_forest(nodes: DataFrame, test: Column) -> DataFrame:

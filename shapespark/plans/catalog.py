@@ -99,7 +99,7 @@ def forest_contract(spark, sf_dir):
 
 @query
 def forest_path_lengths(spark, sf_dir):
-    return trees.path_length(trees.keep_only(views.trees(spark, sf_dir), [1, 2, 3]))
+    return rounded(trees.path_length(trees.keep_only(views.trees(spark, sf_dir), [1, 2, 3])), "length")
 
 
 @query
@@ -343,6 +343,75 @@ def leiden(spark, sf_dir):
     return graphs.leiden(all_bounds(spark, sf_dir), 6)
 
 
+# The solvers on the spaces of all nations, of five points each, where SQL can try every permutation.
+
+
+def nations(spark, sf_dir) -> DataFrame:
+    return materialise(views.nation_spaces(spark, sf_dir), "nations")
+
+
+@query
+def nation_gw(spark, sf_dir):
+    """All pairs of nations; n_iter counts the steps that lowered the cost."""
+    return rounded(pairs.gw_pairwise(nations(spark, sf_dir)).select("first", "second", "dist", "converged", "n_iter"), "dist")
+
+
+@query
+def nation_gw_query_target(spark, sf_dir):
+    """The first five nations against all others."""
+    s = nations(spark, sf_dir)
+    return rounded(pairs.gw_query_target(s.filter("id < '005'"), s.filter("id >= '005'")).select("first", "second", "dist"), "dist")
+
+
+@query
+def nation_couplings(spark, sf_dir):
+    """The entries of all plans."""
+    return rounded(pairs.couplings(pairs.gw_pairwise(nations(spark, sf_dir), True)), "mass")
+
+
+@query
+def nation_deformation(spark, sf_dir):
+    s = nations(spark, sf_dir)
+    return rounded(graphs.deformations(s, pairs.gw_pairwise(s, True)), "amount")
+
+
+@query
+def nation_gw_wanted(spark, sf_dir):
+    """Distances of given pairs only: those of neighbouring nations."""
+    s = nations(spark, sf_dir)
+    near = pairs.pair_index(s).filter(F.col("second").cast("int") - F.col("first").cast("int") <= 2)
+    return rounded(pairs.gw_for(s, near).select("first", "second", "dist"), "dist")
+
+
+@query
+def nation_qgw(spark, sf_dir):
+    """Quantised distances with a cluster for each point, where they are the plain ones."""
+    return rounded(pairs.qgw_pairwise(nations(spark, sf_dir), len(views.SEGMENTS)).select("first", "second", "dist", "converged"), "dist")
+
+
+@query
+def nation_slb(spark, sf_dir):
+    """Lower bounds by the kernel, with unequal masses."""
+    return rounded(pairs.slb_pairwise(materialise(views.weighted_nation_spaces(spark, sf_dir), "nations")), "slb")
+
+
+@query
+def nation_fused_gw(spark, sf_dir):
+    """Fused distances with penalties between the kinds 1 and 3, from the product coupling."""
+    return rounded(pairs.fused_pairwise(nations(spark, sf_dir), {(1, 3): 2.0, (1, 2): 0.7}).select("first", "second", "dist", "gw_cost", "feature_cost"), "dist", "gw_cost", "feature_cost")
+
+
+@query
+def nation_orders(spark, sf_dir):
+    """Exact transport along a line of segments: distances between the shares that segments have of the nations' customers."""
+    orders = views.table(spark, sf_dir, "customer").groupBy("c_nationkey", "c_mktsegment").agg(F.count("*").alias("c"))
+    wide = orders.groupBy("c_nationkey").pivot("c_mktsegment", list(views.SEGMENTS)).agg(F.first("c"))
+    total = sum((F.coalesce(F.col(s), F.lit(0)) for s in views.SEGMENTS), F.lit(0))
+    mapped = wide.select(F.lpad(F.col("c_nationkey").cast("string"), 3, "0").alias("id"), F.lit("customers").alias("channel"), F.array(*[F.coalesce(F.col(s), F.lit(0)) / total for s in views.SEGMENTS]).alias("mass"))
+    line = np.abs(np.subtract.outer(np.arange(len(views.SEGMENTS)), np.arange(len(views.SEGMENTS)))).astype(float)
+    return rounded(pairs.mapped_distances(line, mapped).select("first", "second", "dist"), "dist")
+
+
 # Consensus shapes, on a coupling that turns each cloud's points by one.
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .views import KINDS, POINTS
+from .views import KINDS, POINTS, SEGMENTS
 
 N = POINTS
 _KINDS = "[" + ", ".join(f"'{k}'" for k in KINDS) + "]"
@@ -21,7 +21,7 @@ def walk(t: str) -> str:
 
 RANKED = """sized as (select cell_id, root_id, count(*) size from w group by 1, 2),
   ranks as (select cell_id, root_id, size, (row_number() over (partition by cell_id order by size desc, root_id) - 1)::int component_rank from sized),
-  pos as (select w.*, component_rank, row_number() over (partition by w.cell_id order by component_rank, depth, w.node_id) as position from w join ranks using (cell_id, root_id))"""
+  pos as materialized (select w.*, component_rank, row_number() over (partition by w.cell_id order by component_rank, depth, w.node_id) as position from w join ranks using (cell_id, root_id))"""
 VEC = "v as (select lpad(vec_id::varchar, 8, '0') id, label, list_transform(embedding, lambda x: x::double) vector from embeddings)"
 ENTRIES = f"""{VEC}, ij as (select i, j from (select unnest(range({N})) i), (select unnest(range({N})) j) where i < j),
   ent as (select id, label, i, j, {N} * i - (i * (i + 1)) // 2 + j - i - 1 k, sqrt((vector[4*i+1] - vector[4*j+1])^2 + (vector[4*i+2] - vector[4*j+2])^2 + (vector[4*i+3] - vector[4*j+3])^2 + (vector[4*i+4] - vector[4*j+4])^2) d from v, ij),
@@ -46,6 +46,66 @@ TURNED = f"""{ENTRIES}, sq as (select id, i, j, d from ent union all select id,
   c0 as (select min(id) c from v), ori as (select id cell_id, case when id = c then i else (i + {N} - 1) % {N} end i, case when id = c then j else (j + {N} - 1) % {N} end j, d from sq, c0)"""
 
 
+# Spaces of nations: matrices as lists of lists, and all permutations of their points.
+M = len(SEGMENTS)
+_EACH = f"range(1, {M + 1})"
+_SEGMENTS = "[" + ", ".join(f"'{x}'" for x in SEGMENTS) + "]"
+
+
+def _sum(over: str, body: str) -> str:
+    """The sum of body over 1 to M of a variable."""
+    return f"list_sum(list_transform({_EACH}, lambda {over}: {body}))"
+
+
+NATIONS = f"""seg as (select unnest({_SEGMENTS}) s, unnest(range({M})) k), held as (select c_nationkey, c_mktsegment, avg(c_acctbal) balance, count(*) customers from customer group by 1, 2),
+  pt as (select lpad(n_nationkey::varchar, 3, '0') id, k, coalesce(balance / 1000, 0) x, coalesce(customers / 4, 0) y, k::double z from nation cross join seg left join held on c_nationkey = n_nationkey and c_mktsegment = s),
+  dd as (select a.id, a.k i, b.k j, sqrt((a.x - b.x)^2 + (a.y - b.y)^2 + (a.z - b.z)^2) d from pt a join pt b using (id)),
+  sp as (select id, list(r order by i) m from (select id, i, list(d order by j) r from dd group by id, i) group by id),
+  sq as (select id, m, {_sum("i", _sum("j", "m[i][j]^2"))} / {M * M} size, list_transform(m, lambda r: list_sum(r) / {M}) reach from sp),
+  perms as (select [{", ".join(f"p{i}" for i in range(M))}] p from {", ".join(f"(select unnest({_EACH}) p{i})" for i in range(M))} where len(list_distinct([{", ".join(f"p{i}" for i in range(M))}])) = {M})"""
+#: One descent for each pair: the linearised cost of every permutation, and the cost of the best one.
+_CROSS = _sum("i", _sum("k", "s.x[i][k] * s.y[{0}[k]][p[i]]"))
+DESCENT = f"""pr as (select a.id first, b.id as second, a.m x, b.m y, a.size + b.size base, a.reach rx, b.reach ry from sq a join sq b on a.id < b.id),
+  go as (select first, second, x, y, base, 0 step, base as cost, null::bigint[] plan, false ended, rx, ry from pr
+    union all select first, second, x, y, base, step + 1, case when falls then value else cost end, case when falls then new else plan end, not falls, rx, ry
+    from (select *, value < cost - 1e-12 * base falls from (select t.* exclude (p), new, base - 2.0 / {M * M} * {_sum("i", _sum("k", "x[i][k] * y[new[k]][new[i]]"))} as value from
+      (select s.*, null p, (select arg_min(p, case when s.plan is null then -{_sum("i", "s.rx[i] * s.ry[p[i]]")} else -{_CROSS.format("s.plan")} end) from perms) as new from go s where not ended) t))),
+  gw as (select first, second, x, y, sqrt(greatest(cost, 0)) / 2 dist, plan, step - 1 n_iter from go where ended)"""
+
+
+def fused() -> str:
+    """Conditional gradients with the exact line search, at alpha = 0.5, from the product coupling."""
+    kinds = "[" + ", ".join(str(k % 3 + 1) for k in range(M)) + "]"
+    penalty = f"list_transform({_EACH}, lambda i: list_transform({_EACH}, lambda j: case list_sort([{kinds}[i], {kinds}[j]]) when [1, 3] then 2.0::double when [1, 2] then 0.7::double else 0.0::double end))"
+    table = lambda body: f"list_transform({_EACH}, lambda i: list_transform({_EACH}, lambda j: {body}))"
+    times = lambda m: table(_sum("k", _sum("l", f"x[i][k] * {m}[k][l] * y[l][j]")))
+    dot = lambda a, b: _sum("i", _sum("j", f"{a}[i][j] * {b}[i][j]"))
+    return f"""with recursive {NATIONS}, f as (select {penalty} fe),
+    st as (select a.id first, b.id as second, a.m x, b.m y, a.size + b.size base, {table(str(1.0 / (M * M)))} p from sq a join sq b on a.id < b.id),
+    go as (select *, {times("p")} c, 0 step, false ended from st
+      union all select first, second, x, y, base, case when ends then p else {table("p[i][j] + t * mv[i][j]")} end p, case when ends then c else {table("c[i][j] + t * md[i][j]")} end c, step + 1, ends
+      from (select *, slope > -1e-9 * greatest(base, 1.0) ends, case when curve > 0 then least(1.0, -slope / (2 * curve)) else 1.0 end t
+        from (select *, {dot("g", "mv")} slope, -{dot("md", "mv")} curve from (select *, {times("mv")} md
+          from (select *, {table(f"case when new[i] = j then 1.0 / {M} else 0 end - p[i][j]")} mv from (select s.*, (select arg_min(perms.p, {_sum("i", "s.g[i][perms.p[i]]")}) from perms) as new
+            from (select go.*, {table("0.5 * fe[i][j] - 2.0 * c[i][j]")} g from go, f where not ended and step < 200) s)))))),
+    done as (select first, second, base - 2 * {dot("c", "p")} q, {dot("fe", "p")} l, row_number() over (partition by first, second order by step desc) r from go, f)
+    select first, second, round(0.5 * q + 0.5 * l, 6) dist, round(q, 6) gw_cost, round(l, 6) feature_cost from done where r = 1"""
+
+
+def deformation() -> str:
+    cross = _sum("k", "x[i][k] * y[plan[k]][plan[i]]")
+    rows = f"{_sum('k', 'x[i][k]^2')} / {M * M} + {_sum('k', 'y[plan[i]][k]^2')} / {M * M} - 2 * {cross} / {M * M}"
+    return f"""with recursive {NATIONS}, {DESCENT}, e as (select first, second, i, plan[i] j, {rows} amount from gw, (select unnest({_EACH}) i))
+    select first, second, 'first' side, (i - 1)::int i, round(amount, 6) amount from e union all select first, second, 'second', (j - 1)::int, round(amount, 6) from e"""
+
+
+def nation_bounds() -> str:
+    """Step functions of sorted distances, with the weights of their points, met where they overlap."""
+    return f"""with {NATIONS}, w as (select id, i, j, d, 2 * (i + 1) * (j + 1) * {(2 / (M * (M + 1))) ** 2!r} w from dd where i < j union all select id, -1, -1, 0.0, sum((k + 1)^2) * {(2 / (M * (M + 1))) ** 2!r} from pt group by id),
+    s as (select id, d as value, hi - w lo, hi from (select *, sum(w) over (partition by id order by d, i, j rows unbounded preceding) hi from w))
+    select a.id first, b.id as second, round(0.5 * sqrt(sum((a.value - b.value)^2 * (least(a.hi, b.hi) - greatest(a.lo, b.lo)))), 6) slb from s a join s b on a.id < b.id and a.lo < b.hi and b.lo < a.hi group by 1, 2"""
+
+
 def wnn() -> str:
     half = lambda n: f"select {n} m, id obj, vector[{32 * n + 1}:{32 * n + 32}] x from v"
     dist = "sqrt(list_sum(list_transform(range(1, 33), lambda t: ({0}[t] - {1}[t])^2)))"
@@ -76,6 +136,21 @@ def relative() -> str:
 
 
 ORACLES = {
+    "nation_gw": f"with recursive {NATIONS}, {DESCENT} select first, second, round(dist, 6) dist, true converged, n_iter::int n_iter from gw",
+    "nation_gw_query_target": f"with recursive {NATIONS}, {DESCENT} select first, second, round(dist, 6) dist from gw where first < '005' and second >= '005'",
+    "nation_gw_wanted": f"with recursive {NATIONS}, {DESCENT} select first, second, round(dist, 6) dist from gw where second::int - first::int <= 2",
+    "nation_qgw": f"with recursive {NATIONS}, {DESCENT} select first, second, round(dist, 6) dist, true converged from gw",
+    "nation_couplings": f"with recursive {NATIONS}, {DESCENT} select first, second, (unnest({_EACH}) - 1)::int i, (unnest(plan) - 1)::int j, round(1.0 / {M}, 6)::double mass from gw",
+    "nation_deformation": deformation(),
+    "nation_slb": nation_bounds(),
+    "nation_fused_gw": fused(),
+    "nation_orders": f"""with {NATIONS}, h as (select lpad(c_nationkey::varchar, 3, '0') id, k, c_mktsegment from customer join seg on s = c_mktsegment), t as (select id, count(*) n from h group by 1),
+      c as (select t.id, k, count(h.id) / any_value(n) share from t cross join seg left join h using (id, k) group by 1, 2), cum as (select id, k, sum(share) over (partition by id order by k) f from c)
+      select a.id first, b.id as second, round(sum(abs(a.f - b.f)), 6) dist from cum a join cum b on a.id < b.id and a.k = b.k group by 1, 2""",
+    "forest_path_lengths": f"""with recursive {KEPT}, {walk("f")}, ch as (select cell_id, parent_id node_id, count(*) n from f group by 1, 2),
+      stays as materialized (select w.cell_id, w.node_id, w.root_id, w.path, w.dist_root from w join f using (cell_id, node_id) left join ch using (cell_id, node_id) where parent_id = -1 or coalesce(n, 0) <> 1),
+      met as (select a.cell_id, a.node_id a, b.node_id b, a.dist_root da, b.dist_root db, a.path[len(list_filter(a.path, lambda x: list_contains(b.path, x)))] common from stays a join stays b on a.cell_id = b.cell_id and a.root_id = b.root_id and a.node_id < b.node_id)
+      select met.cell_id, a, b, round(da + db - 2 * c.dist_root, 6) as length from met join w c on c.cell_id = met.cell_id and c.node_id = common""",
     "swc_parse": f"with {TREES} select cell_id, node_id, case when node_id = 1 then 7 else structure_id end structure_id, case when node_id = 1 then 0 else x end x, case when node_id = 1 then 0 else y end y, case when node_id = 1 then 0 else z end z, 1.0::double radius, parent_id from tr",
     "swc_roundtrip": f"with {TREES} select cell_id, node_id, structure_id, x, y, z, 1.0::double radius, parent_id from tr",
     "forest_annotate": f"""with recursive {TREES}, {walk("tr")}, sub as (select cell_id, unnest(path) node_id, edge, node_id below, depth from w),
@@ -93,7 +168,7 @@ ORACLES = {
       select k.cell_id, k.node_id, k.structure_id, k.x, k.y, k.z, 1.0::double radius, case when p.node_id is null then -1 else k.parent_id end parent_id from kept k left join kept p on k.cell_id = p.cell_id and k.parent_id = p.node_id""",
     "type_counts": f"with {TREES} select cell_id, structure_id, count(*) n from tr group by 1, 2",
     "branching_degree": f"with {TREES} select t.cell_id, t.node_id, count(c.node_id) degree from tr t left join tr c on c.cell_id = t.cell_id and c.parent_id = t.node_id group by 1, 2",
-    "total_length": f"with {TREES} select c.cell_id, round(sum(sqrt((c.x - p.x)^2 + (c.y - p.y)^2 + (c.z - p.z)^2)), 6) total_length from tr c join tr p on p.cell_id = c.cell_id and p.node_id = c.parent_id group by 1",
+    "total_length": f"with {TREES} select c.cell_id, round(coalesce(sum(sqrt((c.x - p.x)^2 + (c.y - p.y)^2 + (c.z - p.z)^2)), 0), 6) total_length from tr c left join tr p on p.cell_id = c.cell_id and p.node_id = c.parent_id group by 1",
     "forest_contract": f"""with recursive {KEPT}, {walk("f")}, ch as (select cell_id, parent_id node_id, count(*) n from f group by 1, 2),
       stays as (select f.cell_id, f.node_id from f left join ch using (cell_id, node_id) where parent_id = -1 or coalesce(n, 0) <> 1),
       up as (select w.cell_id, w.node_id, w.dist_root, unnest(path) above, generate_subscripts(path, 1) place from w join stays using (cell_id, node_id)),

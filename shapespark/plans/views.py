@@ -67,3 +67,26 @@ def modalities(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = vectors(spark, sf_dir)
     half = lambda n: v.select(F.lit(n).alias("modality"), F.col("id").alias("obj"), F.slice("vector", 1 + 32 * n, 32).alias("vector"))
     return half(0).unionByName(half(1))
+
+
+#: Market segments, the points of a nation's space.
+SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
+
+
+def nation_spaces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, n, d, mass, kinds): a space of five points for each nation, its customers by market segment: (mean balance / 1000, customers / 4, place
+    of the segment), where segments without customers are at (0, 0, place)."""
+    customers = table(spark, sf_dir, "customer")
+    point = F.struct(F.avg("c_acctbal").alias("balance"), F.count("*").alias("customers"))
+    held = customers.groupBy("c_nationkey", "c_mktsegment").agg(point.alias("point")).groupBy("c_nationkey").agg(F.map_from_entries(F.collect_list(F.struct("c_mktsegment", "point"))).alias("of"))
+    nations = table(spark, sf_dir, "nation").join(held, F.col("n_nationkey") == F.col("c_nationkey"), "left")
+    found = [F.try_element_at(F.col("of"), F.lit(s)) for s in SEGMENTS]
+    points = F.array(*[F.array(F.coalesce(p["balance"] / 1000, F.lit(0.0)), F.coalesce(p["customers"] / 4, F.lit(0.0)), F.lit(float(k))) for k, p in enumerate(found)])
+    n = len(SEGMENTS)
+    return nations.select(F.lpad(F.col("n_nationkey").cast("string"), 3, "0").alias("id"), F.lit(n).alias("n"), pdist(points).alias("d"), F.array(*[F.lit(1.0 / n)] * n).alias("mass"), F.array(*[F.lit(k % 3 + 1) for k in range(n)]).alias("kinds"))
+
+
+def weighted_nation_spaces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """nation_spaces() with masses 1/15, 2/15, ... 5/15."""
+    n = len(SEGMENTS)
+    return nation_spaces(spark, sf_dir).withColumn("mass", F.array(*[F.lit((k + 1) * 2.0 / (n * (n + 1))) for k in range(n)]))
