@@ -31,6 +31,8 @@ from .shared import bounded_batches, table
 
 NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 EDGE = re.compile(r"[>\"']")
+#: Attributes as most tags have them: double quotes behind "=", closed before the tag's end.
+PLAIN = re.compile(r"""[^"'>]*+(?:(?<==)"[^"'>]*+"[^"'>]*+)*+>""")
 ATTRIBUTE = re.compile(r"([a-zA-Z_:][\w:.-]*)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 # fixed values: HTML's own element names
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -90,6 +92,8 @@ class Scanner:
         """The place of the ">" of a tag whose attributes start here; some ">" follows. If all are in quotes, it is the first, and
         quotes say nothing from here on."""
         source, begin = self.source, at
+        if plain := PLAIN.match(source, at):
+            return plain.end() - 1
         while self.quotes and self.find(">", at) >= 0:
             edge = EDGE.search(source, at)
             i = edge.start()
@@ -110,13 +114,14 @@ class Scanner:
     def markup(self, at: int) -> tuple[int, str, str, str] | None:
         """The end, kind, name and attributes of what "<" starts here; no kind for comments; None if it is text."""
         source = self.source
-        for opening, closing in (("<!--", "-->"), ("<![CDATA[", "]]>")):
-            if source.startswith(opening, at) and (end := self.find(closing, at + 2 if opening == "<!--" else at)) >= 0:
-                return end + 3, "", "", ""
+        kind = source[at + 1 : at + 2]
+        if kind == "!":
+            for opening, closing in (("<!--", "-->"), ("<![CDATA[", "]]>")):
+                if source.startswith(opening, at) and (end := self.find(closing, at + 2 if opening == "<!--" else at)) >= 0:
+                    return end + 3, "", "", ""
         shut = self.find(">", at)
         if shut < 0:
             return None
-        kind = source[at + 1 : at + 2]
         name = NAME.match(source, at + 2 if kind == "/" else at + 1)
         if name:
             end = self.tag_end(name.end())
