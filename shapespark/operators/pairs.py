@@ -20,6 +20,8 @@ from ..storage import materialise
 
 #: Spaces of one block, about.
 BLOCK = 64
+#: Spaces of the smallest blocks, about.
+FEW_ROWS = 8
 BATCH = 128
 
 
@@ -48,11 +50,14 @@ def pair_index(rows: DataFrame, key: str = "id", group: str | None = None) -> Da
 
 def by_blocks(spaces: DataFrame, kernel: Callable[[pd.DataFrame, pd.DataFrame | None], pd.DataFrame], schema: str, targets: DataFrame | None = None, block: int = BLOCK, group: str | None = None) -> DataFrame:
     """kernel(block a, block b) for all pairs of blocks; b is None for the pairs within a block. With targets, a is a block of spaces and b one of
-    targets. With a group column only spaces of one group are paired. Blocks are dealt by a hash, about `block` rows each."""
+    targets. With a group column only spaces of one group are paired. Blocks are dealt by a hash, about `block` rows each; fewer where there would
+    otherwise be too few pairs of blocks for all cores, but FEW_ROWS at least."""
+    enough = math.ceil(math.sqrt(6 * spaces.sparkSession.sparkContext.defaultParallelism))
 
     def blocked(df: DataFrame, side: int) -> tuple[DataFrame, int]:
         df = df.withColumn("g", F.col(group) if group else F.lit(0))
-        count = max(1, math.ceil((df.groupBy("g").count().agg(F.max("count")).first()[0] or 0) / block))
+        most = df.groupBy("g").count().agg(F.max("count")).first()[0] or 0
+        count = max(1, math.ceil(most / block), min(enough, most // FEW_ROWS))
         return df.withColumns({"block": F.pmod(F.xxhash64("id"), F.lit(count)).cast("int"), "side": F.lit(side)}), count
 
     a, n = blocked(spaces, 0)
