@@ -9,7 +9,7 @@ from shapespark.plans import catalog
 
 from .conftest import SF
 
-SCORES = {"laplacian_score": lambda f, d: statistics.laplacian_scores(f, d, 0.012)}
+SCORES = {"laplacian_score": lambda f, d: statistics.laplacian_scores(f, d, 0.012), "association": lambda f, d: statistics.association(f, d, 0.012, 200)}
 
 
 @pytest.mark.parametrize("name", SCORES)
