@@ -18,26 +18,30 @@ def canonical(pairs: DataFrame, a: str, b: str, dist: str) -> DataFrame:
     return pairs.select(F.least(a, b).alias("first"), F.greatest(a, b).alias("second"), F.col(dist).cast("double").alias("dist"))
 
 
-def read_distances(spark: SparkSession, path: str, header: bool = True) -> DataFrame:
-    """A CSV of at least three columns (name, name, distance); of rows for the same pair the last counts."""
+def read_distances(spark: SparkSession, path: str, header: bool = True, distinct: bool = False) -> DataFrame:
+    """A CSV of at least three columns (name, name, distance); of rows for the same pair the last counts. distinct: the file is known to have each
+    pair once, as one of all pairs has, so that rows needn't be shuffled to meet others of their pair."""
     rows = spark.read.csv(path, header=header)
     a, b, d = rows.columns[:3]
+    if distinct:
+        return canonical(rows, a, b, d)
     placed = rows.withColumn("place", F.monotonically_increasing_id())
     return placed.select(F.least(a, b).alias("first"), F.greatest(a, b).alias("second"), F.col(d).cast("double").alias("dist"), "place").groupBy("first", "second").agg(F.max_by("dist", "place").alias("dist"))
 
 
 def names_of(distances: DataFrame) -> DataFrame:
-    return distances.select(F.col("first").alias("name")).union(distances.select("second")).distinct()
+    return distances.select(F.explode(F.array("first", "second")).alias("name")).distinct()
 
 
 def symmetric(distances: DataFrame) -> DataFrame:
     """Both orders of each pair, and a zero for each name with itself."""
-    swapped = distances.select(F.col("second").alias("first"), F.col("first").alias("second"), "dist")
-    return distances.select("first", "second", "dist").unionByName(swapped).unionByName(names_of(distances).select(F.col("name").alias("first"), F.col("name").alias("second"), F.lit(0.0).alias("dist")))
+    order = lambda a, b: F.struct(F.col(a).alias("first"), F.col(b).alias("second"), F.col("dist").alias("dist"))
+    both = distances.select(F.explode(F.array(order("first", "second"), order("second", "first"))).alias("p")).select("p.*")
+    return both.unionByName(names_of(distances).select(F.col("name").alias("first"), F.col("name").alias("second"), F.lit(0.0).alias("dist")))
 
 
-def write_distances(distances: DataFrame, path: str) -> None:
-    distances.select(F.col("first").alias("first_object"), F.col("second").alias("second_object"), F.col("dist").alias("gw_distance")).write.csv(path, header=True)
+def write_distances(distances: DataFrame, path: str, compression: str = "none") -> None:
+    distances.select(F.col("first").alias("first_object"), F.col("second").alias("second_object"), F.col("dist").alias("gw_distance")).write.csv(path, header=True, compression=compression)
 
 
 def icdm_width(columns: list[str]) -> int:
