@@ -70,3 +70,17 @@ def test_fused_distances(spark, monkeypatch, worst):
     assert len(found) == len(want) and len(alone) == 7  # the three pairs of equal size and masses are solved together
     for r in found.itertuples():
         assert r[3:] == pytest.approx(want[r.first, r.second], abs=1e-9)
+
+
+def test_quantised_distances(monkeypatch):
+    spaces = [space(n, even) for n, even in ((9, False), (9, True), (7, False), (4, True), (4, True))]
+    cut = [pairs.quantised(r, 4) for r in rows(spaces, "s").to_dict("records")]
+    met = [(cut[i], cut[j]) for i in range(5) for j in range(i + 1, 5)]
+    want = [gromov.quantised_gw(x, y) for x, y in met]
+    alone, single = [], gromov.gw
+    monkeypatch.setattr(gromov, "gw", lambda *a: (alone.append(1), single(*a))[1])
+    coarse = gromov.medoids_batch(met)
+    assert len(alone) == 1  # the last pair has equal masses; all others are solved together
+    for (x, y), c, w in zip(met, coarse, want, strict=True):
+        found = gromov.quantised_gw(x, y, c)
+        assert found.dist == pytest.approx(w.dist, abs=1e-9) and (found.converged, found.steps) == (w.converged, w.steps)
