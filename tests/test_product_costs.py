@@ -5,10 +5,14 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from shapespark.functions import gromov, transport
 from shapespark.functions.gromov import Space
 from shapespark.operators import pairs
+from shapespark.plans import catalog
+
+from .conftest import SF
 
 rng = np.random.default_rng(11)
 
@@ -40,3 +44,16 @@ def test_no_pair_is_solved_alone(monkeypatch):
         one = gromov.gw(x, y)
         assert r.dist == pytest.approx(one.dist, abs=1e-12) and (r.converged, r.n_iter) == (one.converged, one.steps)
         assert (one.plan[r.i, r.j] == r.mass).all()
+
+
+def shuffles(df) -> int:
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_couplings_are_counted_without_a_shuffle_of_pairs(spark):
+    assert shuffles(catalog.QUERIES["gw_couplings"](spark, SF)) <= 2
+    spaces = catalog.nations(spark, SF)
+    found = pairs.gw_pairwise(spaces, True)
+    want = pairs.couplings(found).groupBy("first", "second").agg(F.count("*"), F.sum("mass")).collect()
+    got = {r[:2]: r[2:] for r in pairs.coupling_sizes(found).collect()}
+    assert len(got) == len(want) and all(got[r[:2]] == pytest.approx(r[2:]) for r in want)
