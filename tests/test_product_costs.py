@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from shapespark.functions import gromov, transport
 from shapespark.functions.gromov import Space
-from shapespark.operators import pairs
+from shapespark.operators import graphs, pairs
 from shapespark.plans import catalog
 
 from .conftest import SF
@@ -57,3 +57,13 @@ def test_couplings_are_counted_without_a_shuffle_of_pairs(spark):
     want = pairs.couplings(found).groupBy("first", "second").agg(F.count("*"), F.sum("mass")).collect()
     got = {r[:2]: r[2:] for r in pairs.coupling_sizes(found).collect()}
     assert len(got) == len(want) and all(got[r[:2]] == pytest.approx(r[2:]) for r in want)
+
+
+def test_deformations_meet_no_written_plans(spark):
+    for spaces in (catalog.nations(spark, SF), catalog.views.weighted_nation_spaces(spark, SF)):
+        spaces = catalog.materialise(spaces, "nations")
+        found = graphs.deformations_of_spaces(spaces)
+        assert shuffles(found) <= 2
+        want = {r[:4]: r.amount for r in graphs.deformations(spaces, pairs.gw_pairwise(spaces, True)).collect()}
+        got = {r[:4]: r.amount for r in found.collect()}
+        assert set(got) == set(want) and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
