@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from shapespark.operators import pairs
+from shapespark.operators import pairs, statistics
 
 
 def test_rows_are_sent_so_often_at_most():
@@ -37,3 +37,22 @@ def test_parts_of_blocks_give_each_pair_once(spark, monkeypatch):
     assert max(r.most for r in found) <= 5
     across = pairs.by_blocks(rows, kernel, schema, rows.limit(m), block=4, numbers=pairs.NUMBERS).collect()
     assert len(across) == n * m == len({(r["first"], r.second) for r in across}) and max(r.most for r in across) <= 5
+
+
+def test_predictions_are_sent_as_vectors(spark):
+    rows = [(m, f"o{k}", [float(k * (m + 2) + d) for d in range(3 - m)]) for m in range(2) for k in range(4)]
+    vectors = spark.createDataFrame(rows, "modality int, obj string, vector array<double>")
+    near = spark.createDataFrame([(m, f"o{k}", f"o{(k + step) % 4}") for m in range(2) for k in range(4) for step in (1, 2)], "modality int, first string, second string")
+    scale = spark.createDataFrame([(m, f"o{k}", 3.0, 1.0) for m in range(2) for k in range(4)], "modality int, obj string, bandwidth double, nearest double")
+    found = statistics.affinities(vectors, near, scale)
+    # before, each number of a vector was a row of its own
+    assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
+    values = {(m, o): np.array(v) for m, o, v in rows}
+    got = {(r.source, r.target, r.obj): r.affinity for r in found.collect()}
+    for s in range(2):
+        for t in range(2):
+            for k in range(4):
+                guess = np.mean([values[t, f"o{(k + step) % 4}"] for step in (1, 2)], axis=0)
+                away = np.linalg.norm(guess - values[t, f"o{k}"])
+                assert abs(got[s, t, f"o{k}"] - np.exp(-max(away - 1.0, 0.0) / 2.0)) < 1e-12
+    assert len(got) == 16
